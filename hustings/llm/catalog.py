@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import mixing, packing, quality, tiff, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": urlfilter.op1_url_filters,
+    "op7_packing": packing.op7_packing,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_tiff": tiff.op10_tiff,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_filters": urlfilter.OP1_SQL,
+}
