@@ -32,7 +32,9 @@ PLACE = (1 << 24) - 1
 
 MIN_WORDS = 50
 MAX_CLASS_DISTANCE = 0.22
-MAX_WORD_DISTANCE = 0.75
+#: The word distance may be as large as the first, plus the second over the root of the number of words: a
+#: short text's histogram strays by chance.
+MAX_WORD_DISTANCE = (0.12, 1.5)
 
 
 def repeated_words(tokens: Column, width: int = 5) -> Column:
@@ -183,7 +185,7 @@ def judged(
     docs: DataFrame,
     min_words: int = MIN_WORDS,
     max_class_distance: float = MAX_CLASS_DISTANCE,
-    max_word_distance: float = MAX_WORD_DISTANCE,
+    max_word_distance: tuple[float, float] = MAX_WORD_DISTANCE,
 ) -> DataFrame:
     """A row for each document: counts, distances from the language's histograms, kept or not.
 
@@ -198,7 +200,7 @@ def judged(
     )
     odd = (F.col("n_words") >= min_words) & (
         (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance)
-        | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
+        | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance[0] + max_word_distance[1] / F.sqrt("n_words"))
     )
     return seen.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
