@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, tiff, urlfilter
+from . import chat, mixing, packing, quality, secrets, tiff, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urlfilter.op1_url_filters,
+    "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_secret_scans": secrets.op5_secret_scans,
     "op7_packing": packing.op7_packing,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_mixing": mixing.op9_mixing,
@@ -18,4 +20,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_url_filters": urlfilter.OP1_SQL,
+    "op4_chat_formatting": chat.OP4_SQL,
 }
