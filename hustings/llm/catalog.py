@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, quality, secrets, tiff, toxicity, urlfilter
+from . import chat, jaccard, mixing, packing, quality, secrets, tiff, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urlfilter.op1_url_filters,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_secret_scans": secrets.op5_secret_scans,
+    "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_packing": packing.op7_packing,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_mixing": mixing.op9_mixing,
