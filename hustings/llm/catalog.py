@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, mixing, packing, quality, secrets, tiff, toxicity, urlfilter
+from . import chat, jaccard, mixing, packing, passages, quality, secrets, tiff, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urlfilter.op1_url_filters,
+    "op2_substring_dedup": passages.op2_substring_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_secret_scans": secrets.op5_secret_scans,

@@ -32,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, sized
+from .common import SPACE, cut, sized
 from .components import components
 from .shingles import GOLDEN, WordHashes, as_long, mix, windows
 
@@ -209,7 +209,11 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def join(docs: DataFrame, k: int = 4, percent: int = 85, seed: int = 1) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id, a row for each row of docs."""
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id, class_key, row_hash: a row for each row of docs.
+
+    class_key tells classes apart even where ids are null; it is null without shingles. row_hash is that of
+    doc_id and text.
+    """
     bands = Bands(percent)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,10 +223,11 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, seed: int = 1) -> DataF
             for text in batch.column(1):
                 shingles = np.unique(windows(words.of(text.as_py()), k))
                 rows.append((len(shingles), *(node_of(shingles, seed) if len(shingles) else (0, 0))))
-            columns = [batch.column(0).cast(pa.int64())] + [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
-            yield pa.record_batch(columns, names=["doc_id", "n_shingles", "node", "check"])
+            columns = [batch.column(0).cast(pa.int64())] + [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)] + [batch.column(2)]
+            yield pa.record_batch(columns, names=["doc_id", "n_shingles", "node", "check", "row_hash"])
 
-    rows = cut(docs.select("doc_id", "text").mapInArrow(summed, "doc_id long, n_shingles long, node long, check long"))
+    source = docs.select("doc_id", "text", _row_hash().alias("row_hash"))
+    rows = cut(source.mapInArrow(summed, "doc_id long, n_shingles long, node long, check long, row_hash long"))
     nodes = rows.filter("n_shingles > 0").groupBy("node")
     if not nodes.agg((F.min("check") != F.max("check")).alias("clash")).filter("clash").isEmpty():
         return join(docs, k, percent, seed + 1)
@@ -348,10 +353,16 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, seed: int = 1) -> DataF
         .select("node", "first_id", F.coalesce("top", "label").alias("top"))
     )
     least = classes.groupBy("top").agg(F.min("first_id").alias("component_id"))
-    by_node = classes.join(least, "top").select("node", "component_id")
+    by_node = classes.join(least, "top").select("node", "component_id", F.col("top").alias("class_key"))
+    some = F.col("n_shingles") > 0
     return rows.join(by_node, ["node"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+        "doc_id", "n_shingles", F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(some, F.col("class_key")).alias("class_key"), "row_hash",
+    )
+
+
+def _row_hash() -> Column:
+    return F.xxhash64("doc_id", "text")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, tasks: int, per_task: int = 256) -> DataFrame:
@@ -386,12 +397,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, tasks: int, per_t
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, linked at four words and 85 %."""
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=85)
+    found = join(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that with the least id (five words, 80 %); of rows that share that
-    id, one stays."""
-    kept = join(docs, k=5, percent=80).filter("n_shingles = 0 or doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    once = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return once.dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each class stays (five words, 80 %): that with the least id, null last, then the least
+    hash; a repeated row stays once. Documents without words are in no class and stay."""
+    found = join(docs, k=5, percent=80).filter("class_key is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")
+    kept = found.groupBy("class_key").agg(F.min(order).alias("best")).select(F.col("best.row_hash").alias("row_hash"))
+    keyed = docs.withColumn("row_hash", _row_hash())
+    has_words = F.coalesce(F.col("text").rlike(f"[^{SPACE[1:-1]}]"), F.lit(False))
+    one_each = keyed.filter(has_words).join(kept, "row_hash", "left_semi").dropDuplicates(["row_hash"])
+    return one_each.select(docs.columns).unionByName(docs.filter(~has_words))
