@@ -144,3 +144,37 @@ def merged_transfers(parties: DataFrame, transfers: DataFrame, national: DataFra
     rows = transfers.join(F.broadcast(src), "src").join(F.broadcast(dst), "dst").filter("src_host <> dst_host")
     sums = rows.groupBy("src_host", "dst_host").agg(F.sum(F.col("v") * F.col("w")).alias("w"))
     return sums.select(F.col("src_host").alias("src"), F.col("dst_host").alias("dst"), F.try_divide("w", F.sum("w").over(W.partitionBy("src_host"))).alias("w"))
+
+
+def events(stages: DataFrame) -> DataFrame:
+    """Stages (area, stage, candidate, party, first_pref, quota, transfer, nt) -> events with one source.
+
+    A stage whose sources were all below the quota excludes them, others pass on a surplus. Left out are stages with several
+    sources, such as don't balance to 1 %, and such as give votes to candidates that are out or elected. For an exclusion
+    other_party_share is what of the pile came from other parties; for a surplus, 1 if another party's parcel elected it.
+    """
+    before = W.partitionBy("area", "candidate").orderBy("stage").rowsBetween(W.unboundedPreceding, -1)
+    by_stage = W.partitionBy("area", "stage")
+    held = F.col("first_pref") + F.coalesce(F.sum("transfer").over(before), F.lit(0.0))
+    source = F.col("transfer") < -1e-6
+    known = stages.withColumns({"prev": held, "source": source}).withColumns({
+        "sources": F.count_if("source").over(by_stage), "source_party": F.max(F.when(F.col("source"), F.col("party"))).over(by_stage), "many_parties": F.size(F.collect_set(F.when(F.col("source"), F.col("party"))).over(by_stage)) > 1,
+        "moved": -F.sum(F.when(F.col("source"), F.col("transfer")).otherwise(0.0)).over(by_stage), "balance": F.sum("transfer").over(by_stage) + F.col("nt"),
+        "exclusion": F.min(F.when(F.col("source"), F.col("prev") < F.col("quota") - 1e-6)).over(by_stage),
+    })
+    own = ~F.col("many_parties") & (F.col("source_party") == F.col("party"))
+    crossed = (F.col("prev") < F.col("quota") - 1e-6) & (F.col("prev") + F.col("transfer") >= F.col("quota") - 1e-6)
+    known = known.withColumns({
+        "other": F.coalesce(F.sum(F.when((F.col("transfer") > 0) & ~own, F.col("transfer"))).over(before), F.lit(0.0)),
+        "parcel": F.last(F.when(crossed, (~own).cast("double")), ignorenulls=True).over(before),
+        "out": F.coalesce(F.max(F.col("source") & F.col("exclusion")).over(before), F.lit(False)),
+    })
+    going = ~F.col("source") & ~F.col("out") & (F.col("prev") < F.col("quota") - 1e-6)
+    astray = F.sum(F.when(~F.col("source") & ~going, F.col("transfer")).otherwise(0.0)).over(by_stage)
+    share = F.when(F.col("exclusion"), F.try_divide("other", "prev")).when(F.col("first_pref") >= F.col("quota") - 1e-6, 0.0).otherwise(F.coalesce("parcel", F.lit(0.0)))
+    ready = known.withColumns({"astray": astray, "receivers": F.count_if(going & (F.col("transfer") > 0)).over(by_stage)})
+    fine = F.col("source") & (F.col("sources") == 1) & (F.abs("balance") <= 0.01 * F.col("moved")) & (F.abs("astray") <= 0.01)
+    return ready.filter(fine).select(
+        "area", "stage", F.when(F.col("exclusion"), "exclusion").otherwise("surplus").alias("kind"), "party", F.col("moved").alias("votes_moved"),
+        F.col("nt").alias("non_transferable"), share.alias("other_party_share"), "receivers",
+    )
