@@ -8,6 +8,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def slug(label: Column, longest: int = 40) -> Column:
@@ -21,10 +22,13 @@ def plain_spaces(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.translate(text, "–—’", "--'"), r"\s+", " "))
 
 
-@F.pandas_udf("string")
-def composed(text: pd.Series) -> pd.Series:
+def composed(text: Column) -> Column:
     """Unicode's composed form; Spark has no built-in for it."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    def compose(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return F.pandas_udf(compose, StringType())(text)
 
 
 def area_key(name: Column) -> Column:
