@@ -45,6 +45,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def boxed(df: DataFrame, key: Column) -> DataFrame:
+    """(_key, _row): whole rows beside a key, so that no column of theirs can clash with what they are joined with."""
+    return df.select(key.alias("_key"), F.struct("*").alias("_row"))
+
+
 def sized(df: DataFrame, least: int = 1) -> int:
     """Shuffle partitions that the session asks for."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut
+from .common import SPACE, boxed, cut
 
 MAX_PATTERNS = 100_000
 BINS = 4096
@@ -192,11 +192,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, each as often as it is taken (not at all, once or twice)."""
-    keyed = F.xxhash64("doc_id", "text", "source")
-    sized = cut(docs.select(keyed.alias("doc_id"), F.array("source").alias("sources"), word_count(F.col("text")).alias("size")))
-    copies = mixed(sized).groupBy(F.col("doc_id").alias("row_key")).agg(F.max("copies").alias("copies")).filter("copies > 0")
-    return (
-        docs.join(copies, keyed == F.col("row_key"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(docs.columns)
-    )
+    key = F.xxhash64("doc_id", "text", "source")
+    facts = cut(docs.select(key.alias("doc_id"), F.array("source").alias("sources"), word_count(F.col("text")).alias("size")))
+    taken = mixed(facts).groupBy(F.col("doc_id").alias("_key")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    times = F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    return boxed(docs, key).join(taken, "_key").select("_row", times.alias("_time")).select("_row.*")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, let, words
+from .common import SPACE, boxed, cut, let, words
 
 #: Frequent words of English, German, French and Spanish.
 COMMON_WORDS = (
@@ -216,6 +216,6 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep. The verdict follows a row by id, text and language, so rows that
     share an id are judged each; a null id is an id like others."""
-    good = judged(docs).filter("kept").select("row_hash").distinct()
-    return docs.join(good, _row_hash() == F.col("row_hash"), "left_semi")
+    good = judged(docs).filter("kept").select(F.col("row_hash").alias("_key")).distinct()
+    return boxed(docs, _row_hash()).join(good, "_key", "left_semi").select("_row.*")
 

@@ -1,6 +1,6 @@
 """Secret scans: candidates by shape, then a random forest that drops what only looks like a secret.
 
-A candidate is a run of 16 or more of [A-Za-z0-9_+/=-] with a digit in it. The forest sees its length,
+A candidate is a run of 16 or more of [A-Za-z0-9_+/-] with a digit in it, and up to two = behind it. The forest sees its length,
 runs and changes of character class, rare letter sequences, the share that dictionary pieces cover, path
 marks and the words beside it. It is grown on the driver from `labelled_findings`, a bounded set of findings
 labelled by the rule that made them, and compiled to one SQL expression: on the texts, all is SQL.
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
+CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}+"
 #: Characters of the text before and behind a candidate that the forest sees.
 BEFORE, BEHIND = 48, 16
 MASK = "[SECRET]"

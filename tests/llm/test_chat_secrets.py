@@ -1,0 +1,66 @@
+import hashlib
+import json
+
+from hustings.llm import chat as C
+from hustings.llm import secrets as S
+from pyspark.sql import functions as F
+
+from tests.conftest import SMALL
+from tests.test_catalog import same
+
+
+def test_plain_conversations_equal_sql(spark, duck):
+    same(spark, duck, C.op4_chat_formatting(spark, SMALL), C.OP4_SQL)
+
+
+def test_calls(spark):
+    call = lambda i, name, **args: {"id": i, "name": name, "arguments": args}
+    rows = [
+        (1, 0, "assistant", json.dumps({"content": "ok", "tool_calls": [call("b", "store", key="k", value={"$ref": "a"}), call("a", "search", query="q", limit="3"), call("a", "search", query="again")]})),
+        (1, 1, "tool", json.dumps({"tool_call_id": "b", "content": {"z": 1, "a": [1, 2.5]}})),
+        (1, 4, "tool", json.dumps({"tool_call_id": "a", "content": "r"})),
+        (1, 5, "tool", json.dumps({"tool_call_id": "nowhere", "content": None})),
+        (2, 0, "assistant", json.dumps({"tool_calls": [call("x", "none", q={"$ref": "y"}), call("y", "fetch", url=7, headers={"$ref": "x"})]})),
+        (2, 1, "user", "{broken"), (None, 0, "tool", '{"tool_call_id":"a"}'), (3, 0, None, None), (4, 1, "assistant", '{"tool_calls": "none"}'),
+    ]
+    found = C.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    by = {(r["conv_id"], r["kind"], r["call_id"], r["part"]): r for r in found}
+    a, b = by[1, "call", "a", 2], by[1, "call", "b", 1]
+    ra, rb = by[1, "result", "a", 0], by[1, "result", "b", 0]
+    rank = lambda r: (r["rank_turn"], r["depth"])
+    assert rank(a) < rank(ra) < rank(b) < rank(rb)
+    assert a["linked"] and b["linked"] and not by[1, "call", "a", 3]["linked"]
+    assert a["faults"] == ["limit is not of type integer"] and b["faults"] == []
+    assert rb["line"] == '{"content":{"a":[1,2.5],"z":1},"role":"tool","tool_call_id":"b"}'
+    assert by[1, "result", "nowhere", 0]["faults"] == ["result without a call"]
+    assert by[2, "call", "x", 1]["depth"] is None and "unknown tool" in by[2, "call", "x", 1]["faults"]
+    assert "url is not of type string" in by[2, "call", "y", 2]["faults"]
+    assert by[3, "message", None, 0]["line"] == '{"content":"","role":null}'
+    assert len(found) == 14
+
+
+def test_forest_tells_findings_apart(spark):
+    forest = S.trained(spark)
+    made = spark.createDataFrame(S.labelled_findings(600, seed=99), "b string, c string, a string, label int")
+    cut = made.select("label", F.right("b", F.lit(S.BEFORE)).alias("b"), "c", F.left("a", F.lit(S.BEHIND)).alias("a"))
+    scored = cut.selectExpr("label", *S._features("c", "b", "a")).select("label", F.struct(*S.FEATURES).alias("x")).select("label", F.expr(S.forest_sql(forest, "x")).alias("score"))
+    assert scored.agg(F.avg(((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("int"))).first()[0] > 0.97
+
+
+def test_findings_and_redaction(spark, odd_docs):
+    secret = "ab12" * 10
+    found = S.findings(odd_docs).collect()
+    assert [(r["doc_id"], r["place"], r["length"], r["secret_sha256"]) for r in found] == [(8, 9, 40, hashlib.sha256(secret.encode()).hexdigest())]
+    clean = {str(r["doc_id"]): r["text"] for r in S.redacted(odd_docs).collect()}
+    assert clean["8"] == 'token = "[SECRET]" here' and clean["1"] is None and clean["2"] == ""
+    assert S.redacted(odd_docs).columns == odd_docs.columns
+    text = "commit 0123456789abcdef0123456789abcdef01234567 and api_key=Zx81Qp0LmN42RtYw77Kd and usr/lib/python3/site/test and \U0001f600 token: " + secret
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    places = sorted(r["place"] for r in S.findings(docs).collect())
+    assert places == sorted([text.index("Zx81"), text.index(secret)])
+
+
+def test_all_tokens_of_the_corpus(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    left = S.redacted(docs).filter(F.col("text").rlike('token = "[0-9a-f]{40}"')).count()
+    assert left == 0
