@@ -1 +1 @@
-
+"""No operator of this domain reads streams; the package keeps the place."""
