@@ -156,12 +156,12 @@ def stv_stages(spark, d):
     return stages.select("area", "stage", "s.kind", "s.party", F.round(live, 6).alias("live"), F.round(won * F.col("quota"), 6).alias("locked"), F.round("s.exhausted", 6).alias("exhausted"))
 
 
-@query(f"""WITH RECURSIVE {STV_SQL} SELECT area, round(-(2 * won[1] + live[1] / quota), 6) AS term
+@query(f"""WITH RECURSIVE {STV_SQL} SELECT area, round(0 - (2 * won[1] + live[1] / quota), 6) AS term
 FROM count_ QUALIFY row_number() OVER (PARTITION BY area ORDER BY step DESC) = 1""")
 def stv_gerrymander_value(spark, d):
     """What a party has of its next seat, and a bonus for each it won; negated, as a term to be made small."""
     counted = _piles(spark, d).select("area", E.stv("votes", "matrix", "rates", SEATS, len(PARTIES), stages=True).alias("c"))
-    return counted.select("area", F.round(-(2 * F.col("c.won")[0] + F.col("c.live")[0] / F.col("c.quota")), 6).alias("term"))
+    return counted.select("area", F.round(0 - (2 * F.col("c.won")[0] + F.col("c.live")[0] / F.col("c.quota")), 6).alias("term"))
 
 
 def _ballot(spark, hosts):
