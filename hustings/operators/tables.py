@@ -115,3 +115,10 @@ def running_totals(stages: DataFrame, by: Sequence[str], order: Sequence[str], v
     """What each row's key held before it."""
     upto = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return stages.withColumn("before", F.coalesce(F.sum(value).over(upto), F.lit(0.0)))
+
+
+def age_shares(cells: DataFrame, adult: int = 18, old: int = 65) -> DataFrame:
+    """cells (zone, code, value), codes beginning with an age -> adults by zone, and the share of them who are old; 0 without adults."""
+    age = F.regexp_extract("code", r"^(\d+)", 1).try_cast("int")
+    sums = cells.groupBy("zone").agg(*[F.coalesce(F.sum(F.when(age >= at, F.col("value"))), F.lit(0.0)).alias(n) for n, at in (("adults", adult), ("old", old))])
+    return sums.select("zone", "adults", F.coalesce(F.try_divide("old", "adults"), F.lit(0.0)).alias("old_share"))
