@@ -6,8 +6,9 @@ A document is the set of its shingle hashes. Equal sets are one node. Two nodes
 1. Cells. Sizes fall into bands, such that linked sizes lie in one band or in neighbours. In a band, all
    shingles are hashed into G groups, G above D, the most shingles that two linked sets of it can differ in: each
    of these spoils one group at most, so linked nodes agree in the whole content of some group. Nodes that share a
-   (band, group, content) are a cell. Common shingles do no harm: a cell needs a whole group alike. A set
-   with too many empty groups for the argument adds its empty groups, so no link is lost.
+   (band, group, content) are a cell. Common shingles do little harm: a cell needs a whole group alike, and groups of one
+   or two shingles are left out by sets that have enough larger ones. A set that hasn't shows them, even empty
+   ones, so no link is lost.
 2. Stars. In each cell the node that meets most others is the pivot; each node is verified against
    the pivot that it meets most often. What links is one component, and need not be compared again.
 3. Count-vector R-tree. In cells that still hold several components, the nodes' counts by group are points.
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, sized
+from .common import SPACE, boxed, cut, sized
 from .components import components
 from .shingles import GOLDEN, WordHashes, as_long, mix, windows
 
@@ -69,8 +70,17 @@ class Bands:
         return (int(self.lows[c + 1]) - 1) * (100 - self.percent) // self.percent
 
     def groups(self, c: int) -> int:
+        """Groups for band c: so many that its smallest sets are likely to have over D groups with two shingles or more,
+        where that can be had with less than 2 D groups; else with one or more."""
         d = self.differences(c) + 1
-        return d + math.ceil(2 * d * math.exp(-int(self.lows[c]) / d)) + 1 if d > 1 else 0
+        if d == 1:
+            return 0
+        for g in range(d, 2 * d):
+            load = int(self.lows[c]) / g
+            full = g * (1 - math.exp(-load) * (1 + load))
+            if full >= d + 1.5 * math.sqrt(max(0.0, g - full)):
+                return g
+        return d + math.ceil(2 * d * math.exp(-int(self.lows[c]) / d)) + 1
 
     def needed(self, a, b):
         """The least overlap of linked sets of sizes a and b."""
@@ -83,7 +93,11 @@ def _grouped(shingles: np.ndarray, c: int, groups: int) -> np.ndarray:
 
 
 def signatures(shingles: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, their classes) of a set, one for each group with something in it."""
+    """(signatures, their classes) of a set, one for each group with `least` shingles or more.
+
+    `least` is the set's own, the largest up to 3 that more than D groups reach: of those one at least is alike in a
+    linked set, which shows it too, whichever of the two asks for more.
+    """
     out, kinds = [], []
     for c in bands.classes(len(shingles)):
         groups = bands.groups(c)
@@ -96,8 +110,8 @@ def signatures(shingles: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarr
         high = np.bincount(at, (scattered >> np.uint64(32)).astype(np.float64), groups).astype(np.uint64)
         places = np.arange(groups, dtype=np.uint64)
         content = mix(mix(low) + high * np.uint64(GOLDEN) + counts.astype(np.uint64))
-        full = counts > 0
-        keep = full if int(full.sum()) > bands.differences(c) else np.ones(groups, bool)
+        least = next((m for m in (3, 2, 1) if int((counts >= m).sum()) > bands.differences(c)), 0)
+        keep = counts >= least
         out.append(mix(content + mix(places + np.uint64((c + 1) << 40)))[keep])
         kinds.append(np.full(int(keep.sum()), c))
     if not out:
@@ -105,9 +119,19 @@ def signatures(shingles: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(out), np.concatenate(kinds)
 
 
-def count_vector(shingles: np.ndarray, c: int, bands: Bands) -> np.ndarray:
-    groups = max(32, bands.groups(c))
-    return np.minimum(np.bincount(_grouped(shingles, c, groups), minlength=groups), 65535).astype(np.uint16)
+def count_vector(shingles: np.ndarray, c: int, bands: Bands) -> bytes:
+    """Counts by group, four times as many groups as for cells: a byte each, or two where a count needs them."""
+    groups = _point_groups(c, bands)
+    counts = np.bincount(_grouped(shingles, c, groups), minlength=groups)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint16).tobytes()
+
+
+def _point_groups(c: int, bands: Bands) -> int:
+    return 4 * max(8, bands.groups(c))
+
+
+def _point(data: bytes, groups: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == groups else np.uint16).astype(np.uint16)
 
 
 def node_of(shingles: np.ndarray, seed: int) -> tuple[int, int]:
@@ -263,7 +287,8 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, seed: int = 1) -> DataF
         .sortWithinPartitions("sig", "node")
         .mapInArrow(_cells, "cell long, class long, node long, size long")
     )
-    cells = cut(met.groupBy("cell", "class", "node", "size").agg(F.count("*").alias("times")))
+    cells = cut(met.groupBy("cell", "class", "node", "size").agg(F.count("*").alias("times")), release=True)
+    del met
 
     # Stars: each node against the pivot that it meets most often.
     members = cells.groupBy("cell").agg(F.count("*").alias("members"))
@@ -288,8 +313,8 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, seed: int = 1) -> DataF
                     sets.append(shingles.tobytes())
             yield pa.record_batch([pa.array(own, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    sets = cut(source.mapInArrow(as_sets, "node long, shingles binary").dropDuplicates(["node"]))
-    linked = cut(_verified(stars, sets, percent, tasks))
+    sets = cut(source.mapInArrow(as_sets, "node long, shingles binary").dropDuplicates(["node"]), release=True)
+    linked = cut(_verified(stars, sets, percent, tasks), release=True)
     label = components(linked).select("node", F.col("component").alias("label"))
 
     # Pairs of different components in one cell that the R-tree can't rule out.
@@ -300,14 +325,17 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, seed: int = 1) -> DataF
     def as_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = [
-                count_vector(np.frombuffer(s.as_py(), np.uint64), c, bands).tobytes()
+                count_vector(np.frombuffer(s.as_py(), np.uint64), c, bands)
                 for c, s in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)
             ]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(points, pa.binary())], names=["node", "class", "point"])
 
+    # Nodes share many cells; a pair is looked at in the first of them only. A node has a cell for each group at most.
+    listed = open_rows.groupBy("node", "class").agg(F.sort_array(F.collect_list("cell")).alias("own_cells"))
     points = (
-        open_rows.select("node", "class").distinct().join(sets, "node").select("node", "class", "shingles")
+        listed.select("node", "class").join(sets, "node").select("node", "class", "shingles")
         .mapInArrow(as_points, "node long, class long, point binary")
+        .join(listed, ["node", "class"])
     )
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -316,30 +344,32 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, seed: int = 1) -> DataF
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .join(points, ["node", "class"])
-        .select("cell", "class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "label", "point")
+        .select("cell", "class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "label", "point", "own_cells")
     )
 
     def surviving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, 4):
-            _, _, i, j = run[0][:4]
-            left = [r for r in run if r[4] == i]
-            right = left if i == j else [r for r in run if r[4] == j]
+            cell, kind, i, j = run[0][:4]
+            groups = _point_groups(kind, bands)
+            rows = [(r[5], r[6], r[7], _point(r[8], groups), {c for c in r[9] if c < cell}, r[4]) for r in run]
+            left = [r for r in rows if r[5] == i]
+            right = left if i == j else [r for r in rows if r[5] == j]
             if not left or not right:
                 continue
-            vectors = np.array([np.frombuffer(r[8], np.uint16) for r in left])
-            tree = CountTree(np.array([r[6] for r in left]), vectors)
+            tree = CountTree(np.array([r[1] for r in left]), np.array([r[3] for r in left]))
             a, b = [], []
-            for r in right:
-                for x in tree.search(r[6], np.frombuffer(r[8], np.uint16), bands):
-                    if left[x][7] != r[7] and (i != j or left[x][5] < r[5]):
-                        a.append(min(left[x][5], r[5]))
-                        b.append(max(left[x][5], r[5]))
+            for node, size, label, point, earlier, _ in right:
+                for x in tree.search(size, point, bands):
+                    other, _, its_label, _, its_earlier, _ = left[x]
+                    if its_label != label and (i != j or other < node) and earlier.isdisjoint(its_earlier):
+                        a.append(min(other, node))
+                        b.append(max(other, node))
             if a:
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     keys = ["cell", "class", "i", "j"]
     pairs = dealt.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(surviving, "a long, b long").distinct()
-    more = cut(_verified(cut(pairs), sets, percent, tasks))
+    more = cut(_verified(cut(pairs, release=True), sets, percent, tasks), release=True)
     between = (
         more.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
         .join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
@@ -406,8 +436,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hash; a repeated row stays once. Documents without words are in no class and stay."""
     found = join(docs, k=5, percent=80).filter("class_key is not null")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")
-    kept = found.groupBy("class_key").agg(F.min(order).alias("best")).select(F.col("best.row_hash").alias("row_hash"))
-    keyed = docs.withColumn("row_hash", _row_hash())
+    kept = found.groupBy("class_key").agg(F.min(order).alias("best")).select(F.col("best.row_hash").alias("_key"))
     has_words = F.coalesce(F.col("text").rlike(f"[^{SPACE[1:-1]}]"), F.lit(False))
-    one_each = keyed.filter(has_words).join(kept, "row_hash", "left_semi").dropDuplicates(["row_hash"])
-    return one_each.select(docs.columns).unionByName(docs.filter(~has_words))
+    one_each = boxed(docs.filter(has_words), _row_hash()).join(kept, "_key", "left_semi").dropDuplicates(["_key"])
+    return one_each.select("_row.*").unionByName(docs.filter(~has_words))
