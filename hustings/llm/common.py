@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,10 +40,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current.get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder, with their lineage cut."""
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
+    """The same rows, written to the shared checkpoint folder, with their lineage cut.
+
+    Spark removes shuffle files when the driver's garbage is collected. An operator of many steps would hold those of
+    all its steps on disk until then; after a large step, `release` collects it at once.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    if release:
+        gc.collect()
+        out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def boxed(df: DataFrame, key: Column) -> DataFrame:
