@@ -43,7 +43,8 @@ def _cube(spark, d):
     return every.select(F.to_json(F.struct(F.lit("segments").alias("name"), F.lit("Segments").alias("label"), body.alias("table"))).alias("json"))
 
 
-@query(f"WITH {VOTES_SQL} SELECT CAST(area AS VARCHAR) AS zone, party AS code, party[1] || lower(party[2:]) AS label, votes AS value FROM votes")
+@query(f"""WITH {VOTES_SQL} SELECT CAST(area AS VARCHAR) AS zone, party AS code, party[1] || lower(party[2:]) AS label, coalesce(votes, 0) AS value
+FROM (SELECT DISTINCT area FROM votes) CROSS JOIN (SELECT DISTINCT party FROM votes) LEFT JOIN votes USING (area, party)""")
 def census_cube_flatten(spark, d):
     """A nested table, written and read back, in long form."""
     return O.flatten_cube(_cube(spark, d), first="ZONE")
