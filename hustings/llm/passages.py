@@ -10,6 +10,9 @@
 4. Alignment. The words under a chain are aligned: equal shifts word by word, other gaps by edit distance,
    ends as far as words agree. Of the alignment, maximal segments that score 1 for a word alike and
    -MISMATCH else are the passages; those long and alike enough are kept.
+5. Exact runs. Ranges of a text whose seeds all stand in other texts, whichever these are, give the hash of every run of
+   MIN_WORDS words; a run that two nodes have is a passage in each of its places. So a passage isn't lost when parts of it
+   belong to other heads; no exact run of MIN_WORDS words is missed.
 
 A row says where in a document such a passage stands, and where else. Both sides of a match are given, and
 all copies of a text; spans of a document that overlap are merged.
@@ -30,11 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, sized
-from .shingles import WordHashes, as_long, windows
+from .shingles import WordHashes, as_long, long_windows, windows
 
 K, SPAN = 8, 12
 MIN_WORDS, MIN_ALIKE = 50, 0.8
 GAIN, GAP_COST, MAX_GAP, MISMATCH = 20.0, 0.1, 64, 3
+#: Words that a chain spans at least, from the start of its first seed to the end of its last.
+LEAST_CHAIN = MIN_WORDS - 2 * (SPAN - 1)
 
 
 def seeds(hashes: np.ndarray, span: int = SPAN) -> np.ndarray:
@@ -220,6 +225,56 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(c[apart]) for c in (own, first, at, y)], names=["node", "other", "x", "y"])
 
 
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_matches, and each place of the first node that another node has too, as a row (node, node, at, at). Held are two texts' places of one seed."""
+    names = ["node", "other", "x", "y"]
+    waiting: list[pa.RecordBatch] = []
+    held: list[np.ndarray] | None = None
+    done = None  # the seed whose first two nodes have been dealt with, while its run goes on
+
+    def fed() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            waiting.append(batch)
+            yield batch
+
+    def dealt(s: np.ndarray, v: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The rows of whole runs (or of their first two nodes)."""
+        new_run = np.r_[True, s[1:] != s[:-1]]
+        starts = np.flatnonzero(new_run | np.r_[True, v[1:] != v[:-1]])
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(s)]))
+        is_head = new_run[starts]
+        again = np.r_[~is_head[1:], False] & is_head  # heads with a node behind them
+        own = np.flatnonzero(again[group])
+        if len(own):
+            yield pa.record_batch([pa.array(c) for c in (v[own], v[own], p[own], p[own])], names=names)
+
+    def heads() -> Iterator[pa.RecordBatch]:
+        nonlocal held, done
+        while waiting:
+            s, v, p = (column.to_numpy() for column in waiting.pop(0).columns)
+            if done is not None:
+                rest = s != done
+                s, v, p = s[rest], v[rest], p[rest]
+            if not len(s):
+                continue
+            if held is not None:
+                s, v, p = (np.concatenate(c) for c in zip(held, (s, v, p), strict=True))
+            done = None
+            tail = int(np.flatnonzero(np.r_[True, s[1:] != s[:-1]])[-1])
+            if np.count_nonzero(v[tail + 1 :] != v[tail:-1]) >= 2:
+                done, tail = s[-1], len(s)
+            if tail:
+                yield from dealt(s[:tail], v[:tail], p[:tail])
+            held = [s[tail:], v[tail:], p[tail:]] if tail < len(s) else None
+
+    for out in _matches(fed()):
+        yield out
+        yield from heads()
+    yield from heads()
+    if held is not None:
+        yield from dealt(*held)
+
+
 def _ranks(nodes: np.ndarray, last: int | None, count: int, run: np.ndarray | None = None) -> np.ndarray:
     """How many rows of the same node (and run) stand before each; `count` of `last` have gone before."""
     new = nodes[1:] != nodes[:-1]
@@ -256,9 +311,9 @@ def _by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.nd
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, other, x, y) in order -> chains that may be long enough, with their matches."""
+    """(node, other, x, y) in order -> chains that may be long enough, with their matches; as (node, node, starts, ends) the
+    ranges whose seeds all stand in other nodes too, whichever these are, if they may hold MIN_WORDS words."""
     names = ["node", "other", "xs", "ys"]
-    least = MIN_WORDS - 2 * (SPAN - 1)
     made: list[tuple] = []
 
     def flushed() -> pa.RecordBatch:
@@ -266,19 +321,99 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made.clear()
         return pa.record_batch(columns, names=names)
 
-    for node, other, x, y in _by_key(batches, 2):
-        if max(int(x.max() - x.min()), int(y.max() - y.min())) + K < least:
-            continue
-        for chain in chains(x, y):
-            xs, ys = x[chain], y[chain]
-            if min(int(xs[-1] - xs[0]), int(ys[-1] - ys[0])) + K >= least:
-                made.append((int(node[0]), int(other[0]), xs.tolist(), ys.tolist()))
+    for nodes, others, all_x, all_y in _by_key(batches, 1):
+        node = int(nodes[0])
+        places = np.unique(all_x)
+        cuts = np.flatnonzero(np.diff(places) > SPAN) + 1
+        first, last = places[np.r_[0, cuts]], places[np.r_[cuts, len(places)] - 1]
+        wide = last - first + K + 2 * (SPAN - 1) >= MIN_WORDS
+        if wide.any():
+            made.append((node, node, np.maximum(first[wide] - SPAN + 1, 0).tolist(), (last[wide] + K + SPAN - 1).tolist()))
+        cuts = np.flatnonzero(others[1:] != others[:-1]) + 1
+        for start, end in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(others)].tolist(), strict=True):
+            x, y = all_x[start:end], all_y[start:end]
+            if end - start < 2 or others[start] == node or max(int(x[-1] - x[0]), int(y.max() - y.min())) + K < LEAST_CHAIN:
+                continue
+            for chain in chains(x, y):
+                xs, ys = x[chain], y[chain]
+                if min(int(xs[-1] - xs[0]), int(ys[-1] - ys[0])) + K >= LEAST_CHAIN:
+                    made.append((node, int(others[start]), xs.tolist(), ys.tolist()))
         if len(made) >= 2000:
             yield flushed()
     if made:
         yield flushed()
 
 
+def _held_by_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(run, node, at) in order, a run being MIN_WORDS words -> each place of a run that two nodes or more have, and where
+    another has it: its first node, and for this the next one. Held are one text's places of one run."""
+    names = ["node", "start", "end", "other", "other_start", "alike"]
+    held: list[np.ndarray] | None = None
+    seed = head = head_at = None  # the run that goes on, once it has had two nodes
+
+    def rows(v: np.ndarray, p: np.ndarray, other: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        columns = (v, p, p + np.int32(MIN_WORDS), other, at, np.ones(len(v)))
+        return pa.record_batch([pa.array(c) for c in columns], names=names)
+
+    def dealt(s: np.ndarray, v: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        ends = np.r_[starts[1:], len(s)]
+        run = np.repeat(np.arange(len(starts)), ends - starts)
+        own = v == v[starts][run]
+        second = starts + np.bincount(run, weights=own).astype(np.int64)
+        keep = np.flatnonzero((second < ends)[run])
+        if len(keep):
+            to = np.where(own[keep], second[run[keep]], starts[run[keep]])
+            yield rows(v[keep], p[keep], v[to], p[to])
+
+    for batch in batches:
+        s, v, p = (column.to_numpy() for column in batch.columns)
+        if seed is not None:
+            n = int(np.searchsorted(s, seed, "right")) if len(s) and s[0] == seed else 0
+            if n:
+                yield rows(v[:n], p[:n], np.full(n, head), np.full(n, head_at, np.int32))
+            s, v, p = s[n:], v[n:], p[n:]
+        if not len(s):
+            continue
+        seed = None
+        if held is not None:
+            s, v, p = (np.concatenate(c) for c in zip(held, (s, v, p), strict=True))
+            held = None
+        tail = int(np.flatnonzero(np.r_[True, s[1:] != s[:-1]])[-1])
+        if v[-1] != v[tail]:
+            seed, head, head_at, tail = s[-1], v[tail], p[tail], len(s)
+        else:
+            held = [s[tail:], v[tail:], p[tail:]]
+        if tail:
+            yield from dealt(s[:tail], v[:tail], p[:tail])
+    if held is not None:
+        yield from dealt(*held)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact spans in order of node, other, shift and start -> those that overlap at one shift as one."""
+    now: list | None = None
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        node, start, end, other, at = columns[:5]
+        if not len(node):
+            continue
+        new = np.r_[True, (node[1:] != node[:-1]) | (other[1:] != other[:-1]) | (start[1:] - at[1:] != start[:-1] - at[:-1]) | (start[1:] > end[:-1])]
+        firsts = np.flatnonzero(new)
+        lasts = np.r_[firsts[1:], len(node)] - 1
+        out = [node[firsts], start[firsts], end[lasts], other[firsts], at[firsts]]
+        if now and now[0] == out[0][0] and now[3] == out[3][0] and now[1] - now[4] == out[1][0] - out[4][0] and out[1][0] <= now[2]:
+            out[1][0], out[4][0] = now[1], now[4]
+        elif now:
+            out = [np.r_[np.array([n], c.dtype), c] for n, c in zip(now, out, strict=True)]
+        now = [c[-1] for c in out]
+        if len(out[0]) > 1:
+            yield pa.record_batch([pa.array(c[:-1]) for c in out] + [pa.array(np.ones(len(out[0]) - 1))], names=batch.schema.names)
+    if now:
+        kinds = (np.int64, np.int32, np.int32, np.int64, np.int32)
+        yield pa.record_batch([pa.array(np.array([n], k)) for n, k in zip(now, kinds, strict=True)] + [pa.array(np.ones(1))], names=["node", "start", "end", "other", "other_start", "alike"])
+
+
 def shared(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, start_word, end_word (exclusive), n_words, other_id, other_start, alike."""
     tasks = sized(docs)
@@ -331,7 +466,7 @@ def shared(docs: DataFrame) -> DataFrame:
         .repartition(tasks, "seed")
         .sortWithinPartitions("seed", "less", "node", "at")
         .select("seed", "node", "at")
-        .mapInArrow(_matches, "node long, other long, x int, y int")
+        .mapInArrow(_linked, "node long, other long, x int, y int")
     )
     # A text that several tasks have met gives each of its matches several times: distinct.
     found = cut(
@@ -356,7 +491,7 @@ def shared(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(own, pa.int64()), pa.array(data, pa.binary())], names=["node", "words"])
 
     words = cut(source.mapInArrow(as_words, "node long, words binary").dropDuplicates(["node"]))
-    margin = SPAN + K
+    margin = MIN_WORDS
 
     def sliced(df: DataFrame, who: str, places: str, name: str) -> DataFrame:
         """With the words of `who` from a little before the chain to a little behind it, and where they begin."""
@@ -365,7 +500,31 @@ def shared(docs: DataFrame) -> DataFrame:
         joined = df.join(words.withColumnRenamed("node", who), who)
         return joined.withColumns({f"{name}_start": start, name: F.substring("words", 4 * start + 1, 4 * length)}).drop("words")
 
-    both = sliced(sliced(found, "node", "xs", "a"), "other", "ys", "b").select("node", "other", "xs", "ys", "a_start", "a", "b_start", "b")
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, starts, ends, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(data, np.uint32)
+                for start, end in zip(starts, ends, strict=True):
+                    hashes = long_windows(own[start:end], MIN_WORDS)
+                    if len(hashes):
+                        at = np.arange(start, start + len(hashes), dtype=np.int32)
+                        yield pa.record_batch([pa.array(as_long(hashes)), pa.array(np.full(len(at), node, np.int64)), pa.array(at)], names=["run", "node", "at"])
+
+    span_schema = "node long, start int, end int, other long, other_start int, alike double"
+    exact = (
+        found.filter("node = other")
+        .select("node", "xs", "ys")
+        .join(words, "node")
+        .mapInArrow(runs, "run long, node long, at int")
+        .repartition(tasks, "run")
+        .sortWithinPartitions("run", "node", "at")
+        .mapInArrow(_held_by_two, span_schema)
+        .repartition(tasks, "node")
+        .sortWithinPartitions("node", "other", F.col("start") - F.col("other_start"), "start")
+        .mapInArrow(_joined, span_schema)
+    )
+
+    both = sliced(sliced(found.filter("node != other"), "node", "xs", "a"), "other", "ys", "b").select("node", "other", "xs", "ys", "a_start", "a", "b_start", "b")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,7 +538,7 @@ def shared(docs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
                 yield pa.record_batch([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["node", "start", "end", "other", "other_start", "alike"])
 
-    spans = both.mapInArrow(passages, "node long, start int, end int, other long, other_start int, alike double")
+    spans = both.mapInArrow(passages, span_schema).unionByName(exact)
     # The spans of a node that overlap are one; it names the widest of its matches.
     spans = spans.groupBy("node", "start", "end").agg(F.max(F.struct("alike", "other", "other_start")).alias("best"))
 

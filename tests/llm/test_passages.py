@@ -74,3 +74,42 @@ def test_fuzzy_passages_and_clean_documents(spark):
 def test_odd_rows(spark, odd_docs):
     assert {r["doc_id"] for r in P.shared(odd_docs).collect()} == {4, 5, 6}
     assert P.shared(odd_docs.limit(0)).count() == 0
+
+
+def covered(spark, texts):
+    """Rows of `texts` (lists of words), and the words of each that stand in them."""
+    rows = P.shared(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    found = {i: set() for i in range(len(texts))}
+    for r in rows:
+        found[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    return rows, found
+
+
+def all_shared(texts, n=50):
+    """Places of words in runs of n words that two texts have."""
+    seen = {}
+    for i, t in enumerate(texts):
+        for at in range(len(t) - n + 1):
+            seen.setdefault(tuple(t[at : at + n]), []).append((i, at))
+    want = {i: set() for i in range(len(texts))}
+    for places in seen.values():
+        if len({i for i, _ in places}) > 1:
+            for i, at in places:
+                want[i] |= set(range(at, at + n))
+    return want
+
+
+def test_runs_whose_parts_other_texts_hold(spark):
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    line, texts = words(45), []
+    texts += [words(20) + line + line + words(20) for _ in range(3)] + [words(30) + line + words(30) for _ in range(10)]
+    for _ in range(30):  # two texts share 55 words that begin with the line; others hold each half of 60
+        tail, one, two = words(10), words(30), words(30)
+        texts += [words(20) + line + tail + words(20), words(31) + line + tail + words(9)]
+        texts += [words(9) + one + two + words(9), words(15) + one + two + words(4), words(20) + one + one + words(20), words(20) + two + two + words(20)]
+    want = all_shared(texts)
+    assert sum(map(bool, want.values())) == 123
+    _, found = covered(spark, texts)
+    assert all(want[i] <= found[i] for i in want)
+    assert all(found[i] == set() for i in want if not want[i])
