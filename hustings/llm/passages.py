@@ -226,7 +226,8 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_matches, and each place of the first node that another node has too, as a row (node, node, at, at). Held are two texts' places of one seed."""
+    """_matches, and for the first node's own places: those beyond the next node's count, each with that node's last place,
+    and every place that another node has too, as a row (node, node, at, at). Held are two texts' places of one seed."""
     names = ["node", "other", "x", "y"]
     waiting: list[pa.RecordBatch] = []
     held: list[np.ndarray] | None = None
@@ -244,9 +245,15 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(s)]))
         is_head = new_run[starts]
         again = np.r_[~is_head[1:], False] & is_head  # heads with a node behind them
+        rank = np.arange(len(s)) - starts[group]
+        size = np.diff(np.r_[starts, len(s)])
         own = np.flatnonzero(again[group])
         if len(own):
             yield pa.record_batch([pa.array(c) for c in (v[own], v[own], p[own], p[own])], names=names)
+            more = own[rank[own] >= size[group[own] + 1]]
+            if len(more):
+                behind = group[more] + 1
+                yield pa.record_batch([pa.array(c) for c in (v[starts[behind]], v[more], p[starts[behind] + size[behind] - 1], p[more])], names=names)
 
     def heads() -> Iterator[pa.RecordBatch]:
         nonlocal held, done

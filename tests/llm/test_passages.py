@@ -113,3 +113,39 @@ def test_runs_whose_parts_other_texts_hold(spark):
     _, found = covered(spark, texts)
     assert all(want[i] <= found[i] for i in want)
     assert all(found[i] == set() for i in want if not want[i])
+
+
+def test_every_place_of_a_passage(spark):
+    rng = random.Random(13)
+    words = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    passage, other = words(60), words(50)
+    texts = [passage + words(100) + passage, words(40) + passage + words(40), words(10) + other + words(80) + other + words(80) + other, other + words(70) + other, words(30) + other]
+    edited = words(80)
+    near = [*edited[:40], *words(1), *edited[41:]]
+    texts += [edited + words(90) + edited, words(30) + near + words(10)]
+    want = all_shared(texts)
+    want[5] |= set(range(3, 77)) | set(range(173, 247))
+    _, found = covered(spark, texts)
+    assert all(want[i] <= found[i] for i in want)
+    assert len(found[0]) == 120
+
+
+def test_linked_over_batches():
+    rng = random.Random(5)
+    make = lambda rows: pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "c"])
+    rows_of = lambda batches: sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for _ in range(500):
+        rows = sorted({(rng.randint(0, 3), rng.randint(0, 4), rng.randint(0, 8)) for _ in range(rng.randint(0, 40))})
+        want, windows = rows_of(P._matches(iter([make(rows)]))), []
+        for s in {r[0] for r in rows}:
+            places = {}
+            for _, n, p in (r for r in rows if r[0] == s):
+                places.setdefault(n, []).append(p)
+            if len(places) > 1:
+                (head, own), (second, theirs) = list(places.items())[:2]
+                want += [(head, head, p, p) for p in own] + [(second, head, theirs[-1], p) for p in own[len(theirs) :]]
+                windows += [(n, p, p + 50, *((second, theirs[0]) if n == head else (head, own[0])), 1.0) for n, ps in places.items() for p in ps]
+        cuts = sorted(rng.randint(0, len(rows)) for _ in range(rng.randint(0, 6)))
+        batches = [make(rows[a:b]) for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        assert rows_of(P._linked(iter(batches))) == sorted(want)
+        assert rows_of(P._held_by_two(iter(batches))) == sorted(windows)
