@@ -8,7 +8,7 @@
    word, and the best predecessor, the greatest score + cost * (x + y) among those with less x and y, is a prefix
    maximum in a Fenwick tree over y. Chains are parted at gaps over MAX_GAP.
 4. Alignment. The words under a chain are aligned: equal shifts word by word, other gaps by edit distance,
-   ends as far as words agree. Of the alignment, maximal segments that score 1 for a word alike and
+   ends through edits until the score drops (X-drop). Of the alignment, maximal segments that score 1 for a word alike and
    -MISMATCH else are the passages; those long and alike enough are kept.
 5. Exact runs. Ranges of a text whose seeds all stand in other texts, whichever these are, give the hash of every run of
    MIN_WORDS words; a run that two nodes have is a passage in each of its places. So a passage isn't lost when parts of it
@@ -35,11 +35,16 @@ from pyspark.sql import functions as F
 from .common import cut, sized
 from .shingles import WordHashes, as_long, long_windows, windows
 
-K, SPAN = 8, 12
+K, SPAN = 5, 4
 MIN_WORDS, MIN_ALIKE = 50, 0.8
 GAIN, GAP_COST, MAX_GAP, MISMATCH = 20.0, 0.1, 64, 3
 #: Words that a chain spans at least, from the start of its first seed to the end of its last.
-LEAST_CHAIN = MIN_WORDS - 2 * (SPAN - 1)
+#: Of a passage at MIN_ALIKE few seeds are left: between two, a fifth of MIN_WORDS words and a seed is asked for.
+LEAST_CHAIN = round(MIN_WORDS * (1 - MIN_ALIKE)) + K
+#: Beyond its ends an alignment goes on until its score is DROP below its best; at an edit, up to SKIP words are left out on a side.
+DROP, SKIP, LOOK = 12, 2, 4
+
+SKIPS = [(1, 1)] + [s for n in range(1, SKIP + 1) for s in ((n, 0), (0, n))]
 
 
 def seeds(hashes: np.ndarray, span: int = SPAN) -> np.ndarray:
@@ -153,6 +158,29 @@ def _segments(alike: np.ndarray, mismatch: int = MISMATCH) -> list[tuple[int, in
     return [(s[0], s[1]) for s in stack]
 
 
+def _extended(a: list[int], b: list[int]) -> list[tuple[int, int, bool]]:
+    """Columns as of _edit from the starts of a and b on, through edits, to the best score (X-drop); at each edit the skip
+    behind which most words agree is taken."""
+    out: list[tuple[int, int, bool]] = []
+    i = j = score = best = keep = 0
+    while i < len(a) and j < len(b) and score > best - DROP:
+        if a[i] == b[j]:
+            out.append((1, 1, True))
+            i, j, score = i + 1, j + 1, score + 1
+            if score > best:
+                best, keep = score, len(out)
+            continue
+        most, p, q = -1, 1, 1
+        for u, v in SKIPS:
+            same = sum(map(int.__eq__, a[i + u : i + u + LOOK], b[j + v : j + v + LOOK]))
+            if same > most:
+                most, p, q = same, u, v
+        for _ in range(max(p, q)):
+            out.append((min(p, 1), min(q, 1), False))
+        i, j, score = i + p, j + q, score - MISMATCH * max(p, q)
+    return out[:keep]
+
+
 def aligned(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int], k: int = K, min_words: int = MIN_WORDS, min_alike: float = MIN_ALIKE) -> list[tuple[int, int, int, int, float]]:
     """Passages (start and end in a, start and end in b, share alike) under a chain of k-word matches at x, y."""
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -160,22 +188,21 @@ def aligned(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int], k: int = K
     def along(i: int, j: int, n: int) -> None:
         parts.append((np.arange(i, i + n), np.arange(j, j + n), a[i : i + n] == b[j : j + n]))
 
-    lead = min(x[0], y[0])
-    unlike = np.flatnonzero(a[x[0] - lead : x[0]] != b[y[0] - lead : y[0]])
-    lead -= int(unlike[-1]) + 1 if len(unlike) else 0
-    i, j = x[0] - lead, y[0] - lead
-    along(i, j, lead)
+    def columns(i: int, j: int, steps: list[tuple[int, int, bool]]) -> None:
+        if steps:
+            step = np.array(steps, int)
+            parts.append((i + np.cumsum(step[:, 0]) - step[:, 0], j + np.cumsum(step[:, 1]) - step[:, 1], step[:, 2].astype(bool)))
+
+    lead = _extended(a[: x[0]][::-1].tolist(), b[: y[0]][::-1].tolist())[::-1]
+    columns(x[0] - sum(c[0] for c in lead), y[0] - sum(c[1] for c in lead), lead)
     i, j = x[0], y[0]
     for to_i, to_j in zip([*x[1:], x[-1] + k], [*y[1:], y[-1] + k], strict=True):
         if to_i - i == to_j - j:
             along(i, j, to_i - i)
         else:
-            step = np.array([(p, q, r) for p, q, r in _edit(a[i:to_i], b[j:to_j])], int)
-            parts.append((i + np.cumsum(step[:, 0]) - step[:, 0], j + np.cumsum(step[:, 1]) - step[:, 1], step[:, 2].astype(bool)))
+            columns(i, j, _edit(a[i:to_i], b[j:to_j]))
         i, j = to_i, to_j
-    tail = min(len(a) - i, len(b) - j)
-    unlike = np.flatnonzero(a[i : i + tail] != b[j : j + tail])
-    along(i, j, int(unlike[0]) if len(unlike) else tail)
+    columns(i, j, _extended(a[i:].tolist(), b[j:].tolist()))
     in_a, in_b, alike = (np.concatenate(p) for p in zip(*parts, strict=True))
     out = []
     for start, end in _segments(alike):

@@ -149,3 +149,23 @@ def test_linked_over_batches():
         batches = [make(rows[a:b]) for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
         assert rows_of(P._linked(iter(batches))) == sorted(want)
         assert rows_of(P._held_by_two(iter(batches))) == sorted(windows)
+
+
+def test_recall_by_edit_rate(spark):
+    rng = random.Random(14)
+    words = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    texts, cases = [], []
+    for every, size in ((20, 60), (10, 60), (10, 100), (8, 60), (8, 100), (None, 60)):
+        for _ in range(20):
+            passage = words(size)
+            edited = list(passage)
+            for at in [6, size - 7] if every is None else range(every // 2, size, every):
+                edited[at] = words(1)[0]
+            if every == 20:
+                del edited[25]
+            cases.append((len(texts), size, every))
+            texts += [words(40) + passage + words(40), words(25) + edited + words(60)]
+    texts += [words(200) for _ in range(20)]
+    rows, found = covered(spark, texts)
+    assert all(len(found[at] & set(range(40, 40 + size))) >= size - 8 and found[at + 1] for at, size, _ in cases)
+    assert all(r["alike"] >= P.MIN_ALIKE and r["doc_id"] < 2 * len(cases) for r in rows)
