@@ -190,6 +190,36 @@ class Regions:
             self.size[r] += sign * len(zones)
         self.keep_best()
 
+    def cut_gains(self, a: int, b: int, zones: np.ndarray, links: list[tuple[int, int]], order: list[int], parent: list[int]) -> np.ndarray:
+        """What score() would change by: 0 for regions a and b as they are, then for each place of the tree but its root, cut
+        off with all below it; floors count unpriced, as in step(). Links that a cut parts are the links at its places less twice
+        those within, by subtree sums."""
+        depth, below = [0] * len(zones), self.people[zones].copy()
+        for x in order[1:]:
+            depth[x] = depth[parent[x]] + 1
+        parted = np.zeros(len(zones))
+        for x, y in links:
+            parted[x] += 1
+            parted[y] += 1
+            while x != y:
+                if depth[x] >= depth[y]:
+                    x = parent[x]
+                else:
+                    y = parent[y]
+            parted[x] -= 2
+        for x in reversed(order[1:]):
+            below[parent[x]] += below[x]
+            parted[parent[x]] += parted[x]
+        w, both, all_people = self.settings, (self.settings.people_weight + self.settings.cut_weight) or 1.0, below[0]
+        now = (self.total[a] - self.target) ** 2 + (self.total[b] - self.target) ** 2
+        now_parted = sum(self.assign[zones[x]] != self.assign[zones[y]] for x, y in links)
+        floors = self.floor(self.total[a]) + self.floor(self.total[b])
+        return np.array([0.0] + [
+            (w.people_weight * ((below[x] - self.target) ** 2 + (all_people - below[x] - self.target) ** 2 - now) / self.people_sigma
+             + w.cut_weight * (parted[x] - now_parted) / self.cut_sigma) / both
+            + self.floor(below[x]) + self.floor(all_people - below[x]) - floors for x in order[1:]
+        ])
+
     def recombine(self) -> bool:
         """Two regions side by side become one, a random spanning tree is cut where it is best, by chance and gain."""
         z = int(self.rng.integers(len(self.people)))
@@ -224,17 +254,8 @@ class Regions:
                     order.append(y)
         if len(order) < len(zones):
             return False
-        below = self.people[zones].copy()
-        for x in reversed(order[1:]):
-            below[parent[x]] += below[x]
-        w, both, all_people = self.settings, (self.settings.people_weight + self.settings.cut_weight) or 1.0, below[0]
-        now = (self.total[a] - self.target) ** 2 + (self.total[b] - self.target) ** 2
-        cuts = order[1:]
-        gain = np.array([0.0] + [
-            w.people_weight * (((below[x] - self.target) ** 2 + (all_people - below[x] - self.target) ** 2) - now) / self.people_sigma / both
-            + self.floor(below[x]) + self.floor(all_people - below[x]) - self.floor(self.total[a]) - self.floor(self.total[b]) for x in cuts
-        ])
-        odds = np.exp(-(gain - gain.min()) / w.temperature)
+        cuts, gain = order[1:], self.cut_gains(a, b, zones, links, order, parent)
+        odds = np.exp(-(gain - gain.min()) / self.settings.temperature)
         pick = int(self.rng.choice(len(gain), p=odds / odds.sum()))
         if not pick:
             return False

@@ -154,3 +154,32 @@ def test_search_keeps_maps_whole():
             assert np.allclose(run.total, [run.people[run.assign == r].sum() for r in range(6)])
             assert all(len(run.pieces(set(np.flatnonzero(run.assign == r).tolist()))) == 1 for r in range(6))
     assert run.best <= first and (run.best_assign >= 0).all()
+
+
+def test_gains_are_changes_of_the_score():
+    w = 10
+    near = [np.array([n for n in (z - w, z + w, z - 1 if z % w else -1, z + 1 if z % w < w - 1 else -1) if 0 <= n < w * w]) for z in range(w * w)]
+    run = Q.Regions(1 + np.arange(w * w) % 7, near, 5, 3, Q.Settings(steps=60, temperature=2.0, people_weight=0.7, cut_weight=1.6))
+    run.build()
+    gains, draw = [], run.rng
+
+    class Drawn:
+        """The run's own draws; of choices, keeps the odds and whether the first was taken."""
+
+        def __getattr__(self, name):
+            return getattr(draw, name)
+
+        def choice(self, n, p):
+            pick = int(draw.choice(n, p=p))
+            gains.append(-run.settings.temperature * (np.log(p[pick]) - np.log(p[0])))
+            return pick
+
+    run.floor = lambda people: 0.0  # priced in the score only, as in the reference
+    run.rng, before, seen = Drawn(), run.score(), 0
+    for i in range(400):
+        gains.clear()
+        if run.recombine() if i % 2 else run.step():
+            assert abs(run.score() - before - gains[0]) < 1e-6
+            seen += i % 2
+        before = run.score()
+    assert seen > 20
