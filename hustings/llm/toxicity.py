@@ -3,7 +3,7 @@
 Two transducers are composed. The first turns a token into a class: insult (a learned lexicon of words and
 of stems, each with a weight), threat, target, negation, reported speech, or none. The second reads a clause's classes and
 sums the weights of its matches: an insult counts more with a target near it, little after a negation, and
-little in reported speech; a threat counts only with a target near. Their composition is one table of
+little in reported speech; a threat counts only with a target near. The target may stand before or behind, REACH tokens away at most. Their composition is one table of
 (state, class) -> (state, factor). What the clauses of a text sum to is turned into a score by a logistic
 model.
 
@@ -29,7 +29,17 @@ MAX_LABELLED, SEED = 20_000, 13
 #: A lexicon entry stands in at least LEAST toxic documents, and in RATIO times the share of toxic ones as of others.
 LEAST, RATIO, MAX_ENTRIES, STEMS = 5, 12.0, 5000, (3, 8)
 #: Words that threaten, name a target, negate, or report, in English, German, French and Spanish.
-THREATS = "kill hurt destroy beat burn shoot stab töten umbringen schlagen verletzen tuer frapper détruire matar golpear herir".split()
+THREATS = (
+    "kill kills killed killing hurt hurts hurting destroy destroys destroyed destroying beat beats beaten beating burn burns burned burnt "
+    "burning shoot shoots shot shooting stab stabs stabbed stabbing "
+    "töten töte tötest tötet tötete töteten getötet umbringen umbringe umbringst umbringt umgebracht umzubringen schlagen schlage schlägst schlägt "
+    "schlug schlugen geschlagen verletzen verletze verletzt verletzte verletzten "
+    "tuer tue tues tuez tuons tuent tuera tuerai tueras tuerons tuerez tueront tué tués tuée tuées tuant frapper frappe frappes frappez frappons frappent frappera "
+    "frapperai frapperas frapperons frapperez frapperont frappé frappés frappée frappées détruire détruis détruit détruisez détruisent détruira détruirai "
+    "détruiras détruirons détruiront détruite "
+    "matar mato matas mata matamos matan mataré matarás matará mataremos matarán maté mató mataron matado matando golpear golpeo golpeas golpea "
+    "golpean golpearé golpeará golpearán golpeado golpeando herir hiero hieres hiere hieren heriré herirás herirá herirán herido hiriendo"
+).split()
 TARGETS = "you your yours he she they him her them his their du dich dir dein ihr euch sie tu te toi ton vous votre il elle ils usted tú él ella ellos vosotros".split()
 NEGATIONS = "not no never neither nor nicht kein keine nie ne pas jamais non nunca jamás ni".split()
 REPORTS = "said says say told called claimed according quoted wrote sagte sagt laut dit disait selon dijo dice según".split()
@@ -42,27 +52,47 @@ FACTOR = {"plain": 1.0, "target": 1.5, "negated": 0.25, "reported": 0.3, "threat
 FEATURES = 6
 
 
-def _machine() -> dict[tuple[int, int, int], list[tuple[tuple[int, int, int], float]]]:
-    """(tokens a negation still reaches, tokens a target still reaches, reported) -> next state and factor by class."""
-    table = {}
-    for negated in range(REACH + 1):
-        for aimed in range(REACH + 1):
-            for reported in (0, 1):
-                row = []
-                for kind in range(6):
-                    after = (
-                        REACH if kind == NEGATION else max(0, negated - 1),
-                        REACH if kind == TARGET else max(0, aimed - 1),
-                        1 if kind == REPORT else reported,
-                    )
-                    factor = 0.0
-                    if kind == INSULT or (kind == THREAT and aimed):
-                        factor = FACTOR["target"] if aimed else FACTOR["plain"]
-                        factor *= FACTOR["threat"] if kind == THREAT else 1.0
-                        factor *= FACTOR["negated"] if negated else 1.0
-                        factor *= FACTOR["reported"] if reported else 1.0
-                    row.append((after, factor))
-                table[negated, aimed, reported] = row
+def _machine() -> dict[tuple[int, ...], list[tuple[tuple[int, ...], float, float]]]:
+    """(tokens a negation still reaches, tokens a target still reaches, reported, tokens an open match still waits, what it is)
+    -> next state, factor of this token's weight and of the open match's, by class.
+
+    An open match is a threat without a target so far, or an insult that counts plainly so far; a target within REACH tokens
+    completes it. A later threat or insult takes its place. States are those that can be reached."""
+    table: dict[tuple[int, ...], list[tuple[tuple[int, ...], float, float]]] = {}
+    left = [(0, 0, 0, 0, 0)]
+    while left:
+        state = left.pop()
+        if state in table:
+            continue
+        negated, aimed, reported, waits, kept = state
+        row = []
+        for kind in range(6):
+            # The match that waits: kind, and whether it was negated or reported.
+            waiting, was_negated, was_reported = kept & 3, kept >> 2 & 1, kept >> 3 & 1
+            after_wait, after_kept, factor = max(0, waits - 1), kept if waits > 1 else 0, 0.0
+            held = 0.0
+            if kind == TARGET and waits:
+                held = FACTOR["target"] * FACTOR["threat"] if waiting == THREAT else FACTOR["target"] - FACTOR["plain"]
+                held *= (FACTOR["negated"] if was_negated else 1.0) * (FACTOR["reported"] if was_reported else 1.0)
+                after_wait = after_kept = 0
+            if kind in (INSULT, THREAT):
+                damped = (FACTOR["negated"] if negated else 1.0) * (FACTOR["reported"] if reported else 1.0)
+                if aimed:
+                    factor = FACTOR["target"] * (FACTOR["threat"] if kind == THREAT else 1.0) * damped
+                    after_wait = after_kept = 0
+                else:
+                    factor = FACTOR["plain"] * damped if kind == INSULT else 0.0
+                    after_wait, after_kept = REACH, kind | (negated > 0) << 2 | reported << 3
+            after = (
+                REACH if kind == NEGATION else max(0, negated - 1),
+                REACH if kind == TARGET else max(0, aimed - 1),
+                1 if kind == REPORT else reported,
+                after_wait,
+                after_kept,
+            )
+            row.append((after, factor, held))
+            left.append(after)
+        table[state] = row
     return table
 
 
@@ -100,16 +130,18 @@ class Grammar:
             kinds = [seen[t] if t in seen else self._kind(t) for t in tokens]
         if not any(k is not None and 0 < k[0] < TARGET for k in kinds):
             return (0.0,) * FEATURES
-        start = (0, 0, 0)
-        state, score, total, most, matched, clauses = start, 0.0, 0.0, 0.0, 0, 1
+        start = (0, 0, 0, 0, 0)
+        state, score, total, most, matched, clauses, open_weight = start, 0.0, 0.0, 0.0, 0, 1, 0.0
         for k in kinds:
             kind, weight = k or (NONE, 0.0)
             if kind == -1:
                 total, most, matched = total + score, max(most, score), matched + (score > 0)
                 state, score, clauses = start, 0.0, clauses + 1
                 continue
-            state, factor = self.machine[state][kind]
-            score += factor * weight
+            state, factor, held = self.machine[state][kind]
+            score += factor * weight + held * open_weight
+            if kind == INSULT or kind == THREAT:
+                open_weight = weight
         total, most, matched = total + score, max(most, score), matched + (score > 0)
         return (np.log1p(total), np.log1p(most), np.log1p(matched), matched / clauses, min(3.0, 100.0 * total / len(kinds)), float(total > 0))
 

@@ -14,6 +14,20 @@ def test_grammar():
     assert total("not. idiot") == total("idiot")
 
 
+def test_targets_behind():
+    g = T.Grammar({"idiot": 2.0}, {"scumm": 1.0})
+    total = lambda text: g.features(text)[0]
+    assert total("I will kill you") == total("you will kill") > 0
+    assert total("idiot, you") == total("you idiot") > total("idiot, here are three or four words and you")
+    assert total("kill in a week you") == total("kill. you") == total("I will kill time") == 0
+    assert 0 < total("I will not kill you") < total("I will kill you") and 0 < total("they said we would kill you") < total("would kill you")
+    assert total("not an idiot, you") < total("an idiot, you")
+    assert all(total(text) > 0 for text in ("he kills them", "killing you", "er tötet dich", "je vais te frapper", "te mataré"))
+    assert total("idiot kill you") > total("idiot kill") == total("idiot")
+    # A target completes one match only.
+    assert total("idiot you you") == total("idiot you")
+
+
 def test_held_out(spark):
     folder = "/root/testdata/sf0.1"
     rows = T.op3_toxicity(spark, folder).collect()
