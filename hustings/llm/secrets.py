@@ -1,6 +1,7 @@
 """Secret scans: candidates by shape, then a random forest that drops what only looks like a secret.
 
-A candidate is a run of 16 or more of [A-Za-z0-9_+/-] with a digit in it, and up to two = behind it. The forest sees its length,
+A candidate is a run of 16 or more of [A-Za-z0-9_+/-] and up to two = behind it; and, with or without digits and however short
+(4 characters), what is assigned to a name with a secret word in it, and what follows a known prefix. The forest sees its length,
 runs and changes of character class, rare letter sequences, the share that dictionary pieces cover, path
 marks and the words beside it. It is grown on the driver from `labelled_findings`, a bounded set of findings
 labelled by the rule that made them, and compiled to one SQL expression: on the texts, all is SQL.
@@ -18,7 +19,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}+"
 #: Characters of the text before and behind a candidate that the forest sees.
 BEFORE, BEHIND = 48, 16
 MASK = "[SECRET]"
@@ -28,6 +28,15 @@ PLAIN_WORDS = "commit|sha-?1|sha-?256|sha|md5|checksum|digest|uuid|guid|hash|rev
 PIECES = "the|and|ing|tion|ent|for|pro|con|com|ver|win|sys|tem|user|data|file|path|lib|usr|bin|src|test|main|http|www|html|index|page|image|config|server|client|local|host|name|type|list|node|module|package|python|java|install|release|update|report|final|draft|copy|photo|backup|table|session|service|manager|example|sample|default"
 KNOWN = "AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abprs]-|sk_live_|sk-|rk_live_|eyJ|AIza|SG[.]|ya29[.]"
 
+_EDGE = "(?<![A-Za-z0-9_+/-])"
+#: A value that is assigned to a name with a secret word in it, a known prefix with what follows, or a run of 16 or more.
+CANDIDATE = (
+    "(?<=[:=]\\s{0,2}[\"']?)(?<=(?i:" + SECRET_WORDS + ")[A-Za-z0-9_-]{0,12}[\"']?\\s{0,2}[:=]\\s{0,2}[\"']?)"
+    "[A-Za-z0-9_+/@!#$%^&*~.-]{3,}[A-Za-z0-9_+/@!#$%^&*~-]={0,2}+"
+    "|" + _EDGE + "(?:" + KNOWN + ")[A-Za-z0-9_+/-]{8,}+={0,2}+"
+    "|" + _EDGE + "[A-Za-z0-9_+/-]{16,}+={0,2}+"
+)
+
 #: How many labelled findings the forest is grown from, and its size.
 FINDINGS, TREES, DEPTH, SEED = 2400, 24, 6, 5
 
@@ -60,7 +69,6 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
     some = lambda letters, k: "".join(rng.choices(letters, k=k))
     piece = lambda: rng.choice(PIECES.split("|"))
     filler = lambda: " ".join(word(rng.randint(1, 4)) for _ in range(rng.randint(0, 5)))
-    digit = lambda s: s if any(c.isdigit() for c in s) else s + str(rng.randint(0, 9))
 
     def secret() -> tuple[str, str, str]:
         body = rng.choice([
@@ -69,32 +77,41 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
         ])()
         if rng.random() < 0.25:
             known = rng.choice(["AKIA", "ghp_", "glpat-", "xoxb-", "sk_live_", "sk-", "eyJ", "AIza"])
-            return filler() + rng.choice([" ", " = ", ": ", ' "']), digit(known + some(alnum, rng.randint(16, 40))), rng.choice(['"', " ", "\n"])
+            return filler() + rng.choice([" ", " = ", ": ", ' "']), known + some(alnum, rng.randint(16, 40)), rng.choice(['"', " ", "\n"])
+        if rng.random() < 0.25:
+            body = rng.choice([
+                lambda: some(alnum, rng.randint(8, 15)), lambda: some(alnum + "!@#$%&*", rng.randint(8, 15)), lambda: some(alnum, rng.randint(20, 64)).translate(str.maketrans("", "", "0123456789")),
+                lambda: word(rng.randint(2, 3)) + str(rng.randint(0, 9999)) + rng.choice(["", "!", some(lower, 1)]),
+            ])()
         name = rng.choice(["token", "secret", "password", "api_key", "apikey", "auth_token", "Bearer", "client_secret", "access_key", "private_key", "signing key", "TOKEN", "API_KEY"])
         sign, quote = rng.choice([" = ", "=", ": ", " ", " is ", ":"]), rng.choice(['"', "'", ""])
-        return f"{filler()} {name}{sign}{quote}", digit(body), quote + rng.choice([" ", "\n", ";", ","]) + filler()[:10]
+        return f"{filler()} {name}{sign}{quote}", body, quote + rng.choice([" ", "\n", ";", ","]) + filler()[:10]
 
     def plain() -> tuple[str, str, str]:
-        kind = rng.randrange(9)
+        kind = rng.randrange(11)
+        if kind >= 9:
+            name = rng.choice(["token", "secret", "password", "auth", "credential", "passwd", "auth_type", "token_name", "private key", "Bearer"])
+            value = rng.choice([lambda: rng.choice(["null", "none", "None", "true", "false", "string", "required", "optional", "undefined", "env"]), piece, lambda: word(rng.randint(2, 5)), lambda: piece() + rng.choice("_.-") + piece()])()
+            return f"{filler()} {name}{rng.choice([' = ', '=', ': ', ':'])}", value, rng.choice([" ", "\n", ";", ",", "."]) + filler()[:10]
         if kind == 0:
             name = rng.choice(["commit", "sha1:", "checksum", "md5 =", "etag:", "revision", "digest:", "sha256:", "build", "blob", "hash"])
-            return f"{filler()} {name} {rng.choice(['', chr(34)])}", digit(some(hexes, rng.choice((32, 40, 64)))), " " + filler()[:10]
+            return f"{filler()} {name} {rng.choice(['', chr(34)])}", some(hexes, rng.choice((32, 40, 64))), " " + filler()[:10]
         if kind == 1:
             u = some(hexes, 32)
-            return filler() + rng.choice([" id ", " uuid: ", " = ", ' "', " token "]), digit("-".join((u[:8], u[8:12], u[12:16], u[16:20], u[20:]))), " "
+            return filler() + rng.choice([" id ", " uuid: ", " = ", ' "', " token "]), "-".join((u[:8], u[8:12], u[12:16], u[16:20], u[20:])), " "
         if kind == 2:
             return filler() + " ", some("0123456789", rng.randint(16, 24)), " " + filler()[:10]
         if kind == 3:
-            return filler() + rng.choice([" ", "/", " /", " https://"]), digit("/".join(piece() + rng.choice(["", str(rng.randint(1, 99))]) for _ in range(rng.randint(3, 6)))), rng.choice([".py", ".html", "/", " "])
+            return filler() + rng.choice([" ", "/", " /", " https://"]), "/".join(piece() + rng.choice(["", str(rng.randint(1, 99))]) for _ in range(rng.randint(3, 6))), rng.choice([".py", ".html", "/", " "])
         if kind == 4:
-            return filler() + rng.choice([" ", ' "', "="]), digit(rng.choice("_-").join(piece() for _ in range(rng.randint(3, 6)))) + str(rng.randint(1, 2030)), rng.choice([".png", " ", '"'])
+            return filler() + rng.choice([" ", ' "', "="]), rng.choice("_-").join(piece() for _ in range(rng.randint(3, 6))) + rng.choice(["", str(rng.randint(1, 2030))]), rng.choice([".png", " ", '"'])
         if kind == 5:
-            return filler() + " ", word(rng.randint(8, 14)) + str(rng.randint(1, 99)), " "
+            return filler() + " ", word(rng.randint(8, 14)) + rng.choice(["", str(rng.randint(1, 99))]), " "
         if kind == 6:
             return filler() + " ", f"20{rng.randint(10, 29)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}_{rng.randint(10, 23)}-{rng.randint(10, 59)}-{rng.randint(10, 59)}", " "
         if kind == 7:
             return filler() + rng.choice([" ", " iban ", ", "]), some("ABCDEFGHILMNOPRSTUV", 2) + some("0123456789", rng.randint(14, 25)), " "
-        return filler() + rng.choice([" token ", " password: ", " secret = ", " the password "]), digit("-".join(piece() for _ in range(rng.randint(3, 5)))), rng.choice([" ", "."])
+        return filler() + rng.choice([" token ", " password: ", " secret = ", " the password "]), "-".join(piece() for _ in range(rng.randint(3, 5))), rng.choice([" ", "."])
 
     return [((secret if i % 2 else plain)() + (i % 2,)) for i in range(n)]
 
