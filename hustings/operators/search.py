@@ -1,21 +1,52 @@
 """The search for maps: N connected regions of zones, grown, then improved by moves and recombinations.
 
 One search is a chain of small random steps and can't be dealt out; many searches, one for each number of
-regions, seed and setting, can. Each runs whole in one Python task on arrays of zones and neighbours; the
-scorer in `scoring` is the part that works on tables, and checks what a search returns.
+regions, seed and setting, can. Each runs whole in one Python task. All terms of the score but the cut are functions of a region's
+sums, so a zone is a row of masses, a move adds and takes rows, and one function prices any number of rows at once: regions as
+they are, as they would be, and all parts into which a tree can be cut. The scorer in `scoring` is the same on tables, and
+checks what a search returns.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import heapq
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ballots import Election
+
 FLOOR_SHARE, FLOOR_PRICE = 0.2, 300_000.0
 SEAL_EVERY = 25
+#: Columns of a row of masses; those of the terms come behind them, a sum and a count for each.
+PEOPLE, AREA, AX, AY, ARR, OWN, PX, PY, PRR = range(9)
+
+
+@dataclass(frozen=True)
+class Term:
+    """What a search wants of a demographic or a party: mode average, extreme or gerrymander.
+
+    `spread` and `between` are its spread from zone to zone and between regions; a party is the place of its votes in `Election`.
+    """
+
+    name: str
+    mode: str = "off"
+    weight: float = 0.0
+    threshold: float = 0.5
+    steepness: float = 10.0
+    above: bool = True
+    spread: float = 0.1
+    between: float = 0.1
+    party: int | None = None
+
+    def __post_init__(self):
+        if self.mode not in ("off", "average", "extreme", "gerrymander"):
+            raise ValueError(f"mode {self.mode}")
 
 
 @dataclass(frozen=True)
@@ -23,293 +54,603 @@ class Settings:
     """What a search weighs, and how long it runs."""
 
     steps: int = 2000
-    temperature: float = 0.002
+    temperature: float = 1.0
     recombine_every: int = 25
-    cut_weight: float = 1.0
     people_weight: float = 1.0
+    cut_weight: float = 1.0
+    shape_weight: float = 0.0
+    people_shape_weight: float = 0.0
+    terms: tuple[Term, ...] = ()
+    election: Election | None = None
     branch_moves: bool = True
 
+    def __post_init__(self):
+        if self.steps < 0 or self.temperature <= 0 or self.recombine_every < 1:
+            raise ValueError("steps, temperature and the interval of recombinations must be positive")
+        if min(self.people_weight, self.cut_weight, self.shape_weight, self.people_shape_weight, *(t.weight for t in self.terms), 0.0) < 0:
+            raise ValueError("a weight is negative")
+
+    @property
+    def live(self) -> list[tuple[int, Term]]:
+        return [(i, t) for i, t in enumerate(self.terms) if t.mode != "off" and t.weight > 0]
+
+    @property
+    def all_weights(self) -> float:
+        """The sum by which the weighted terms are divided; 1 if nothing is weighed."""
+        return self.people_weight + self.cut_weight + self.shape_weight + self.people_shape_weight + sum(t.weight for _, t in self.live) or 1.0
+
+
+@dataclass
+class Zones:
+    """Masses of zones and their neighbours. x and y are metres (or any unit of length) from a common centre."""
+
+    people: np.ndarray
+    near: list[Sequence[int]]
+    area: np.ndarray | None = None
+    x: np.ndarray | None = None
+    y: np.ndarray | None = None
+    values: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+
+    def masses(self) -> np.ndarray:
+        n, p = len(self.people), np.asarray(self.people, float)
+        a, x, y = (np.zeros(n) if v is None else np.asarray(v, float) for v in (self.area, self.x, self.y))
+        rr = x * x + y * y
+        columns = [p, a, a * x, a * y, a * rr, a * a / (2 * math.pi), p * x, p * y, p * rr]
+        for value, count in self.values:
+            columns += [np.asarray(value, float) * count, np.asarray(count, float)]
+        return np.column_stack(columns)
+
+
+class Pricing:
+    """The terms of the score, on rows of masses."""
+
+    def __init__(self, masses: np.ndarray, mean_degree: float, n: int, settings: Settings):
+        self.settings, self.n = settings, n
+        zones, all_ = max(1, len(masses)), masses.sum(axis=0)
+        self.target = all_[PEOPLE] / n
+        # Sizes of a typical move, in which the terms are measured.
+        self.people_sigma = max(float((masses[:, PEOPLE] ** 2).sum()) / zones, 1e-12)
+        self.shape_sigma = n / zones
+        self.cut_sigma = max(mean_degree / 24, 1e-12)
+        self.floor_at = self.target * FLOOR_SHARE
+        self.has_area = all_[AREA] > 0
+        self.means = [float(all_[9 + 2 * i] / all_[10 + 2 * i]) if all_[10 + 2 * i] else 0.0 for i in range(len(settings.terms))]
+        self.parties = [(t.party, i) for i, t in enumerate(settings.terms) if t.party is not None]
+        self.sigmas = [self._sigma(t, n, zones) for t in settings.terms]
+
+    def _sigma(self, t: Term, n: int, zones: int) -> float:
+        step, election = t.spread * n / zones, self.settings.election
+        if t.party is not None and t.mode == "gerrymander" and election and election.kind == "stv":
+            return max(1e-9, step * (election.seats + 1))
+        return max(1e-12, step * max(0.0, t.steepness) / 4 if t.mode == "gerrymander" else 2 * t.between * step)
+
+    def share(self, rows: np.ndarray, i: int) -> np.ndarray:
+        """A term's value in each row; the mean of all zones where nobody counts."""
+        total, count = rows[:, 9 + 2 * i], rows[:, 10 + 2 * i]
+        return np.where(count > 0, total / np.where(count > 0, count, 1.0), self.means[i])
+
+    def _curve(self, t: Term, i: int, x: np.ndarray) -> np.ndarray:
+        if t.mode == "gerrymander":
+            by = (x - t.threshold if t.above else t.threshold - x) * max(0.0, t.steepness)
+            return 1 / (1 + np.exp(np.clip(by, -700, 700)))
+        gap = x - self.means[i]
+        return gap * gap if t.mode == "average" else -np.minimum(np.abs(gap), t.between) ** 2
+
+    def term(self, t: Term, i: int, rows: np.ndarray) -> np.ndarray:
+        """What a term adds by row, lower being better, before it is divided by its typical move."""
+        election = self.settings.election
+        if t.party is None or t.mode != "gerrymander":
+            return self._curve(t, i, self.share(rows, i))
+        if election and (election.kind == "stv" or election.changes_votes):
+            votes = np.maximum(0.0, rows[:, [9 + 2 * j for _, j in self.parties]]) * election.level
+            own = [p for p, _ in self.parties].index(t.party)
+            cast = np.array([election.cast(v) for v in votes]) if election.changes_votes else votes
+            if election.kind == "stv":
+                value = np.array([election.value(v, own) for v in cast])
+                return -value if t.above else value
+            return self._curve(t, i, election.margins(cast, own))
+        rivals = [self.share(rows, j) for p, j in self.parties if p != t.party]
+        return self._curve(t, i, self.share(rows, i) - (np.max(rivals, axis=0) if rivals else 0.0))
+
+    def shape(self, rows: np.ndarray) -> np.ndarray:
+        """Second moment of a region's land about its centre; 1 for a disc."""
+        area = np.where(rows[:, AREA] > 0, rows[:, AREA], 1.0)
+        moment = rows[:, ARR] - (rows[:, AX] ** 2 + rows[:, AY] ** 2) / area + rows[:, OWN]
+        return np.where(rows[:, AREA] > 0, 2 * math.pi * moment / (area * area), 1.0)
+
+    def people_shape(self, rows: np.ndarray) -> np.ndarray:
+        """The same of where people live, beside the region's area."""
+        fine = (rows[:, PEOPLE] > 0) & (rows[:, AREA] > 0)
+        people, area = np.where(fine, rows[:, PEOPLE], 1.0), np.where(fine, rows[:, AREA], 1.0)
+        return np.where(fine, 2 * math.pi * (rows[:, PRR] - (rows[:, PX] ** 2 + rows[:, PY] ** 2) / people) / (people * area), 1.0)
+
+    def parts(self, rows: np.ndarray) -> dict[str, np.ndarray]:
+        """Each term by row, in typical moves, unweighed."""
+        out = {"people": (rows[:, PEOPLE] - self.target) ** 2 / self.people_sigma}
+        if self.has_area:
+            out["shape"] = (self.shape(rows) - 1) / self.shape_sigma
+            out["people_shape"] = (self.people_shape(rows) - 1) / self.shape_sigma
+        return out | {f"term:{t.name}": self.term(t, i, rows) / self.sigmas[i] for i, t in self.settings.live}
+
+    def cost(self, rows: np.ndarray) -> np.ndarray:
+        """The weighted terms by row, floors left out."""
+        w, off = self.settings, rows[:, PEOPLE] - self.target
+        out = (w.people_weight / self.people_sigma) * off * off
+        if self.has_area and w.shape_weight:
+            out += w.shape_weight * (self.shape(rows) - 1) / self.shape_sigma
+        if self.has_area and w.people_shape_weight:
+            out += w.people_shape_weight * (self.people_shape(rows) - 1) / self.shape_sigma
+        for i, t in w.live:
+            out += t.weight / self.sigmas[i] * self.term(t, i, rows)
+        return out / w.all_weights
+
+    def floors(self, people: np.ndarray) -> np.ndarray:
+        """What a region under its floor costs, unpriced."""
+        if self.floor_at <= 0:
+            return np.zeros(len(people))
+        s = np.maximum(people / self.floor_at, 1e-6)
+        return np.where(people >= self.floor_at, 0.0, 1 + (1 - s) ** 2 / s)
+
+    def cut(self, edges):
+        return self.settings.cut_weight * edges / self.cut_sigma / self.settings.all_weights
 
-class Regions:
-    """Zones, their neighbours and people, and which region each is in (-1: none yet)."""
 
-    def __init__(self, people: np.ndarray, neighbours: list[np.ndarray], n: int, seed: int, settings: Settings):
-        self.people, self.near, self.n, self.settings = people.astype(float), neighbours, n, settings
+class Regions:
+    """Zones and which region each is in (-1: none yet), with all sums of the regions kept as zones move."""
+
+    def __init__(self, zones: Zones, n: int, seed: int, settings: Settings):
+        if not 1 <= n <= max(1, len(zones.people)):
+            raise ValueError(f"{n} regions of {len(zones.people)} zones")
+        self.near = [[int(w) for w in ws] for ws in zones.near]
+        self.masses, self.n, self.settings = zones.masses(), n, settings
+        degree = sum(map(len, self.near)) / max(1, len(self.near))
+        self.price = Pricing(self.masses, degree, n, settings)
         self.rng = np.random.default_rng(seed)
-        self.assign = np.full(len(people), -1)
-        self.total, self.size = np.zeros(n), np.zeros(n, int)
-        self.target = people.sum() / n
-        mean = people.mean()
-        self.people_sigma = max(mean * mean, 1e-12)
-        self.cut_sigma = max(1.0, sum(map(len, neighbours)) / max(1, len(people)) / 24)
-        self.cut, self.best, self.best_assign = 0, np.inf, None
+        self._draws: list[float] = []
+        self.assign = [-1] * len(self.near)
+        self.sums, self.size = np.zeros((n, self.masses.shape[1])), [0] * n
+        self.cut, self.best, self.best_assign, self._changed = 0, math.inf, None, set()
+        self.border: list[int] = []
+        self.place: dict[int, int] = {}
+
+    def draw(self) -> float:
+        if not self._draws:
+            self._draws = self.rng.random(1024).tolist()
+        return self._draws.pop()
 
     # Growing
 
     def seeds(self) -> list[int]:
-        """Zones far from each other: each the farthest, in steps, from those before; ties to the first."""
-        far, out = np.full(len(self.people), np.inf), [int(self.rng.integers(len(self.people)))]
-        for _ in range(self.n):
-            layer, steps = [out[-1]], 0
-            far[out[-1]] = 0
+        """Zones far from each other: each the farthest, in steps, from those before; one on an island not reached yet comes first. Ties to the first."""
+        far = [math.inf] * len(self.near)
+        out = [int(self.draw() * len(self.near))]
+        while True:
+            far[out[-1]], layer, steps = 0, [out[-1]], 0
             while layer:
                 steps += 1
-                after = {int(w) for z in layer for w in self.near[z] if far[w] > steps}
-                for w in after:
-                    far[w] = steps
-                layer = sorted(after)
-            if len(out) < self.n:
-                out.append(int(np.argmax(np.where(np.isinf(far), -1, far))))
-        return out[: self.n]
-
-    def put(self, zone: int, region: int) -> None:
-        self.assign[zone] = region
-        self.total[region] += self.people[zone]
-        self.size[region] += 1
+                after = []
+                for z in layer:
+                    for w in self.near[z]:
+                        if far[w] > steps:
+                            far[w] = steps
+                            after.append(w)
+                layer = after
+            if len(out) == self.n:
+                return out
+            out.append(max(range(len(far)), key=lambda z: (far[z], -z)))
 
     def build(self) -> int:
-        """Regions take zones in turn, the least populous first; pockets that one region encloses go to it."""
+        """Regions claim zones in turn, the least populous first, each the open neighbour that costs least; pockets that one region
+        encloses go to it. Fails where an island has no region, since its zones could join none."""
+        self.taken = [0] * len(self.near)
+        self.open: list[dict[int, int]] = [{} for _ in range(self.n)]
         for region, zone in enumerate(self.seeds()):
-            if self.assign[zone] < 0:
-                self.put(zone, region)
-        steps = 0
-        while (self.assign < 0).any():
+            self.claim(zone, region)
+        left, steps = len(self.near) - self.n, 0
+        queue = [(float(self.sums[r, PEOPLE]), r) for r in range(self.n)]
+        heapq.heapify(queue)
+        while left:
             steps += 1
             if steps % SEAL_EVERY == 0:
-                self.seal()
-            for region in np.argsort(self.total, kind="stable"):
-                mine = np.flatnonzero(self.assign == region)
-                free = sorted({int(w) for z in mine for w in self.near[z] if self.assign[w] < 0})
-                if free:
-                    off = self.total[region] - self.target
-                    gain = [self.settings.people_weight * self.people[z] * (self.people[z] + 2 * off) / self.people_sigma
-                            + self.settings.cut_weight * sum(self.assign[w] not in (-1, region) for w in self.near[z]) / self.cut_sigma for z in free]
-                    self.put(free[int(np.argmin(gain))], int(region))
+                sealed = self.seal()
+                left -= sealed
+                if sealed:
+                    queue = [(float(self.sums[r, PEOPLE]), r) for r in range(self.n)]
+                    heapq.heapify(queue)
+                if not left:
                     break
-            else:
-                break
-        self.recount()
-        self.keep_best()
+            while queue and not self.open[queue[0][1]]:
+                heapq.heappop(queue)
+            if not queue:
+                raise ValueError(f"{left} zones can't be reached from any region: fewer regions than islands")
+            region = queue[0][1]
+            self.claim(self.cheapest(region), region)
+            heapq.heapreplace(queue, (float(self.sums[region, PEOPLE]), region))
+            left -= 1
+        self.settle()
         return steps
 
-    def seal(self) -> None:
-        seen = np.zeros(len(self.people), bool)
-        for start in np.flatnonzero(self.assign < 0):
-            if seen[start]:
-                continue
-            pocket, owners, at = [int(start)], set(), 0
-            seen[start] = True
-            while at < len(pocket):
-                for w in self.near[pocket[at]]:
-                    if self.assign[w] >= 0:
-                        owners.add(int(self.assign[w]))
-                    elif not seen[w]:
-                        seen[w] = True
-                        pocket.append(int(w))
-                at += 1
-            if len(owners) == 1:
-                for z in pocket:
-                    self.put(z, next(iter(owners)))
-
-    # Scoring
+    def cheapest(self, region: int) -> int:
+        zones = list(self.open[region])
+        rows = self.sums[region] + self.masses[zones]
+        others = np.array([self.taken[z] - k for z, k in self.open[region].items()])
+        delta = self.price.cost(rows) + self.price.cut(others)
+        least = delta.min()
+        return min(z for z, d in zip(zones, delta.tolist(), strict=True) if d == least)
 
-    def recount(self) -> None:
-        self.cut = sum(int(self.assign[z] != self.assign[w]) for z in range(len(self.near)) for w in self.near[z] if z < w)
+    def claim(self, zone: int, region: int) -> None:
+        self.assign[zone] = region
+        self.sums[region] += self.masses[zone]
+        self.size[region] += 1
+        mine = self.open[region]
+        for w in self.near[zone]:
+            self.taken[w] += 1
+            owner = self.assign[w]
+            if owner < 0:
+                mine[w] = mine.get(w, 0) + 1
+            else:
+                self.open[owner].pop(zone, None)
+        mine.pop(zone, None)
+
+    def seal(self) -> int:
+        """Gives pieces without a region that touch one region only to it; how many zones. A piece is left as soon as a second
+        region is met, and what was walked until then isn't walked again."""
+        walked: set[int] = set()
+        count = 0
+        for region in range(self.n):
+            for start in list(self.open[region]):
+                if start in walked or self.assign[start] >= 0:
+                    continue
+                piece, whole = [start], True
+                walked.add(start)
+                inside = {start}
+                for z in piece:
+                    for w in self.near[z]:
+                        owner = self.assign[w]
+                        if owner >= 0:
+                            whole = whole and owner == region
+                        elif w not in inside:
+                            if w in walked:
+                                whole = False
+                            else:
+                                walked.add(w)
+                                inside.add(w)
+                                piece.append(w)
+                    if not whole:
+                        break
+                if whole:
+                    for z in piece:
+                        self.claim(z, region)
+                    count += len(piece)
+        return count
+
+    def adopt(self, assign: Sequence[int]) -> None:
+        """Starts from a map, whether its regions are connected or not."""
+        if len(assign) != len(self.near) or not all(0 <= int(r) < self.n for r in assign):
+            raise ValueError("a map gives each zone one of the regions")
+        self.assign = [int(r) for r in assign]
+        self.settle()
+
+    def settle(self) -> None:
+        """All sums from the assignment, as they are kept from here on."""
+        regions = np.array(self.assign)
+        self.sums = np.zeros((self.n, self.masses.shape[1]))
+        np.add.at(self.sums, regions, self.masses)
+        self.size = np.bincount(regions, minlength=self.n).tolist()
+        self.cut = sum(regions[z] != regions[w] for z, ws in enumerate(self.near) for w in ws if z < w)
+        self.costs, self.floors = self.price.cost(self.sums), self.price.floors(self.sums[:, PEOPLE])
+        self.border, self.place = [], {}
+        for z in range(len(self.near)):
+            self.touch(z)
+        self.best, self.best_assign, self._changed = self.score(), list(self.assign), set()
 
-    def floor(self, people: float) -> float:
-        least = self.target * FLOOR_SHARE
-        if least <= 0 or people >= least:
-            return 0.0
-        s = max(people / least, 1e-6)
-        return 1 + (1 - s) ** 2 / s
+    # Scoring
 
     def score(self) -> float:
-        w = self.settings
-        equality = float(((self.total - self.target) ** 2).sum()) / self.people_sigma
-        both = (w.people_weight + w.cut_weight) or 1.0
-        return (w.people_weight * equality + w.cut_weight * self.cut / self.cut_sigma) / both + FLOOR_PRICE * sum(map(self.floor, self.total))
+        return float(self.costs.sum()) + float(self.price.cut(self.cut)) + FLOOR_PRICE * float(self.floors.sum())
+
+    def components(self) -> dict[str, float]:
+        """The terms of the score in typical moves, unweighed, the worst deviation and the means of the penalties."""
+        rows = self.sums
+        out = {name: float(v.sum()) for name, v in self.price.parts(rows).items()} | {"cut": self.cut / self.price.cut_sigma, "floor": float(self.floors.sum())}
+        out["max_deviation"] = float(np.abs(rows[:, PEOPLE] / self.price.target - 1).max())
+        if self.price.has_area:
+            out |= {"mean_shape": float(self.price.shape(rows).mean()), "mean_people_shape": float(self.price.people_shape(rows).mean())}
+        return out
 
     def keep_best(self) -> None:
-        if (score := self.score()) < self.best:
-            self.best, self.best_assign = score, self.assign.copy()
+        score = self.score()
+        if score < self.best:
+            for z in self._changed:
+                self.best_assign[z] = self.assign[z]
+            self.best = score
+            self._changed.clear()
+
+    def touch(self, zone: int) -> None:
+        """Whether a zone stands at a border, in the list that moves are drawn from."""
+        home = self.assign[zone]
+        beside = any(self.assign[w] != home for w in self.near[zone])
+        at = self.place.get(zone)
+        if beside and at is None:
+            self.place[zone] = len(self.border)
+            self.border.append(zone)
+        elif not beside and at is not None:
+            last = self.border.pop()
+            del self.place[zone]
+            if last != zone:
+                self.border[at] = last
+                self.place[last] = at
 
     # Moving
 
-    def pieces(self, zones: set[int]) -> list[list[int]]:
-        """Connected pieces of some zones, the largest first."""
-        left, out = set(zones), []
-        while left:
-            piece = [left.pop()]
-            for z in piece:
+    def cut_off(self, zone: int) -> list[int]:
+        """What falls off the zone's region without it: all pieces but the largest. Pieces are walked in turn, step by step, so that
+        the largest needn't be walked to its end."""
+        home = self.assign[zone]
+        starts = [w for w in self.near[zone] if self.assign[w] == home]
+        if len(starts) < 2:
+            return []
+        owner = {w: i for i, w in enumerate(starts)}
+        root = list(range(len(starts)))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        walks = [[w] for w in starts]
+        at = [0] * len(starts)
+        open_pieces = len(starts)
+        while True:
+            moved = False
+            for i in range(len(starts)):
+                if at[i] >= len(walks[i]):
+                    continue
+                moved = True
+                z = walks[i][at[i]]
+                at[i] += 1
                 for w in self.near[z]:
-                    if w in left:
-                        left.discard(int(w))
-                        piece.append(int(w))
-            out.append(piece)
-        return sorted(out, key=lambda p: (-len(p), min(p)))
+                    if w == zone or self.assign[w] != home:
+                        continue
+                    other = owner.get(w)
+                    if other is None:
+                        owner[w] = i
+                        walks[i].append(w)
+                    elif top(other) != top(i):
+                        root[top(other)] = top(i)
+                        open_pieces -= 1
+                        if open_pieces == 1:
+                            return []
+            unfinished = {top(i) for i in range(len(starts)) if at[i] < len(walks[i])}
+            sizes: dict[int, int] = {}
+            for i, walk in enumerate(walks):
+                sizes[top(i)] = sizes.get(top(i), 0) + len(walk)
+            done = [s for t, s in sizes.items() if t not in unfinished]
+            if not moved or (len(unfinished) == 1 and sizes[next(iter(unfinished))] >= max(done, default=0)):
+                first: dict[int, int] = {}
+                for z, i in owner.items():
+                    first[top(i)] = min(first.get(top(i), z), z)
+                keep = max(sizes, key=lambda t: (t in unfinished and len(unfinished) == 1, sizes[t], -first[t]))
+                return [z for z, i in owner.items() if top(i) != keep]
+
+    def chosen(self, gains: np.ndarray) -> int:
+        """One of the gains by chance, the better the likelier."""
+        odds = np.cumsum(np.exp(-(gains - gains.min()) / self.settings.temperature))
+        return min(int(np.searchsorted(odds, self.draw() * odds[-1], side="right")), len(gains) - 1)
 
     def step(self) -> bool:
         """A zone at a border, with what would be cut off without it, stays or goes to a region beside it, by chance and gain."""
-        z = int(self.rng.integers(len(self.people)))
-        home = int(self.assign[z])
-        beside = sorted({int(self.assign[w]) for w in self.near[z]} - {home})
-        if not beside or self.size[home] <= 1:
+        if not self.border:
             return False
-        rest = self.pieces(set(np.flatnonzero(self.assign == home).tolist()) - {z})
-        if len(rest) > 1 and not self.settings.branch_moves:
+        z = self.border[int(self.draw() * len(self.border))]
+        home = self.assign[z]
+        if self.size[home] <= 1:
             return False
-        moving = [z, *[x for piece in rest[1:] for x in piece]]
-        if len(moving) >= self.size[home]:
+        rest = self.cut_off(z)
+        if rest and (not self.settings.branch_moves or len(rest) + 1 >= self.size[home]):
             return False
-        group, people = set(moving), float(self.people[moving].sum())
-        border = {}
-        for x in moving:
-            for w in self.near[x]:
-                if int(w) not in group:
-                    border[int(self.assign[w])] = border.get(int(self.assign[w]), 0) + 1
-        w, both = self.settings, (self.settings.people_weight + self.settings.cut_weight) or 1.0
-        gains = [0.0]
-        for r in beside:
-            equal = 2 * people * (people + self.total[r] - self.total[home]) / self.people_sigma
-            cut = (border.get(home, 0) - border.get(r, 0)) / self.cut_sigma
-            floors = self.floor(self.total[home] - people) - self.floor(self.total[home]) + self.floor(self.total[r] + people) - self.floor(self.total[r])
-            gains.append((w.people_weight * equal + w.cut_weight * cut) / both + floors)
-        gains = np.array(gains)
-        odds = np.exp(-(gains - gains.min()) / w.temperature)
-        pick = int(self.rng.choice(len(gains), p=odds / odds.sum()))
+        moving = [z, *rest]
+        beside: list[int] = []
+        for w in self.near[z]:
+            if self.assign[w] != home and self.assign[w] not in beside:
+                beside.append(self.assign[w])
+        edges = self.edges_by_region(moving)
+        mass = self.masses[z] if len(moving) == 1 else self.masses[moving].sum(axis=0)
+        after = np.vstack([self.sums[home] - mass, self.sums[beside] + mass])
+        cost, floor = self.price.cost(after), self.price.floors(after[:, PEOPLE])
+        gains = np.zeros(len(beside) + 1)
+        change = cost[0] - self.costs[home] + floor[0] - self.floors[home]
+        links = np.array([edges.get(home, 0) - edges.get(r, 0) for r in beside])
+        gains[1:] = change + cost[1:] - self.costs[beside] + floor[1:] - self.floors[beside] + self.price.cut(links)
+        pick = self.chosen(gains)
         if not pick:
             return False
-        self.move(moving, home, beside[pick - 1], border)
-        return True
-
-    def move(self, zones: list[int], home: int, to: int, border: dict[int, int]) -> None:
-        self.cut += border.get(home, 0) - border.get(to, 0)
-        self.assign[zones] = to
-        for r, sign in ((home, -1), (to, 1)):
-            self.total[r] += sign * self.people[zones].sum()
-            self.size[r] += sign * len(zones)
+        self.move(moving, home, beside[pick - 1], int(links[pick - 1]))
+        for r, row, c, f in ((home, after[0], cost[0], floor[0]), (beside[pick - 1], after[pick], cost[pick], floor[pick])):
+            self.sums[r], self.costs[r], self.floors[r] = row, c, f
         self.keep_best()
+        return True
 
-    def cut_gains(self, a: int, b: int, zones: np.ndarray, links: list[tuple[int, int]], order: list[int], parent: list[int]) -> np.ndarray:
-        """What score() would change by: 0 for regions a and b as they are, then for each place of the tree but its root, cut
-        off with all below it; floors count unpriced, as in step(). Links that a cut parts are the links at its places less twice
-        those within, by subtree sums."""
-        depth, below = [0] * len(zones), self.people[zones].copy()
-        for x in order[1:]:
-            depth[x] = depth[parent[x]] + 1
-        parted = np.zeros(len(zones))
-        for x, y in links:
-            parted[x] += 1
-            parted[y] += 1
-            while x != y:
-                if depth[x] >= depth[y]:
-                    x = parent[x]
-                else:
-                    y = parent[y]
-            parted[x] -= 2
-        for x in reversed(order[1:]):
-            below[parent[x]] += below[x]
-            parted[parent[x]] += parted[x]
-        w, both, all_people = self.settings, (self.settings.people_weight + self.settings.cut_weight) or 1.0, below[0]
-        now = (self.total[a] - self.target) ** 2 + (self.total[b] - self.target) ** 2
-        now_parted = sum(self.assign[zones[x]] != self.assign[zones[y]] for x, y in links)
-        floors = self.floor(self.total[a]) + self.floor(self.total[b])
-        return np.array([0.0] + [
-            (w.people_weight * ((below[x] - self.target) ** 2 + (all_people - below[x] - self.target) ** 2 - now) / self.people_sigma
-             + w.cut_weight * (parted[x] - now_parted) / self.cut_sigma) / both
-            + self.floor(below[x]) + self.floor(all_people - below[x]) - floors for x in order[1:]
-        ])
-
-    def recombine(self) -> bool:
-        """Two regions side by side become one, a random spanning tree is cut where it is best, by chance and gain."""
-        z = int(self.rng.integers(len(self.people)))
-        a = int(self.assign[z])
-        beside = sorted({int(self.assign[w]) for w in self.near[z]} - {a})
-        if not beside:
-            return False
-        b = beside[int(self.rng.integers(len(beside)))]
-        zones = np.flatnonzero((self.assign == a) | (self.assign == b))
-        place = {int(x): i for i, x in enumerate(zones)}
-        links = [(place[int(x)], place[int(y)]) for x in zones for y in self.near[x] if x < y and int(y) in place]
-        self.rng.shuffle(links)
+    def edges_by_region(self, zones: Sequence[int]) -> dict[int, int]:
+        """Edges from a set of zones to the regions around and to the rest of their own."""
+        inside, out = set(zones), {}
+        for z in zones:
+            for w in self.near[z]:
+                if w not in inside:
+                    out[self.assign[w]] = out.get(self.assign[w], 0) + 1
+        return out
+
+    def move(self, zones: Sequence[int], home: int, to: int, cut: int) -> None:
+        """Assignment, sizes, cut and border; sums are the caller's."""
+        for z in zones:
+            self.assign[z] = to
+        self.size[home] -= len(zones)
+        self.size[to] += len(zones)
+        self.cut += cut
+        self._changed.update(zones)
+        for z in zones:
+            self.touch(z)
+            for w in self.near[z]:
+                self.touch(w)
+
+    # Recombining
+
+    def spanning_tree(self, zones: list[int]) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray] | None:
+        """Of a random spanning tree of some zones: places in preorder, their parents, subtree sizes, and all links as places in preorder."""
+        place = {z: i for i, z in enumerate(zones)}
+        links = np.array([(i, place[w]) for i, z in enumerate(zones) for w in self.near[z] if z < w and w in place] or np.zeros((0, 2)), int)
+        links = links[self.rng.permutation(len(links))]
         root = list(range(len(zones)))
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
         tree: list[list[int]] = [[] for _ in zones]
-        for x, y in links:
-            if top(x) != top(y):
-                root[top(x)] = top(y)
+        for x, y in links.tolist():
+            a, b = x, y
+            while root[a] != a:
+                root[a] = root[root[a]]
+                a = root[a]
+            while root[b] != b:
+                root[b] = root[root[b]]
+                b = root[b]
+            if a != b:
+                root[a] = b
                 tree[x].append(y)
                 tree[y].append(x)
-        order, parent = [0], [-1] * len(zones)
-        for x in order:
+        order, parent, stack, at = [], [-1] * len(zones), [0], [-1] * len(zones)
+        while stack:
+            x = stack.pop()
+            at[x] = len(order)
+            order.append(x)
             for y in tree[x]:
-                if y != parent[x]:
+                if at[y] < 0 and y != parent[x]:
                     parent[y] = x
-                    order.append(y)
+                    stack.append(y)
         if len(order) < len(zones):
+            return None
+        size = [1] * len(zones)
+        for x in reversed(order[1:]):
+            size[parent[x]] += size[x]
+        places = np.array(at)
+        return order, [at[parent[x]] if parent[x] >= 0 else 0 for x in order], np.array([size[x] for x in order]), places[links[:, 0]], places[links[:, 1]]
+
+    @staticmethod
+    def ancestors(parent: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The lowest common ancestors of pairs of places in preorder: climbs from a by powers of two while b isn't below."""
+        jumps = [parent]
+        while len(jumps) < max(1, len(parent).bit_length()):
+            jumps.append(jumps[-1][jumps[-1]])
+        over = lambda x: (x <= b) & (b < x + size[x])
+        at = a.copy()
+        for jump in reversed(jumps):
+            higher = jump[at]
+            at = np.where(over(higher) | over(at), at, higher)
+        return np.where(over(at), at, parent[at])
+
+    def cut_gains(self, a: int, b: int, zones: list[int]) -> tuple[np.ndarray, list[int], np.ndarray] | None:
+        """What the score would change by: 0 for regions a and b as they are, then for each place of a random spanning tree but its
+        root, cut off with all below it. With it the tree's order and subtree sizes; subtrees are runs of that order."""
+        tree = self.spanning_tree(zones)
+        if tree is None:
+            return None
+        order, up, size, x, y = tree
+        mass = self.masses[zones][order]
+        running = np.vstack([np.zeros(mass.shape[1]), np.cumsum(mass, axis=0)])
+        first = np.arange(1, len(order))
+        part = running[first + size[1:]] - running[first]
+        rest = running[-1] - part
+        # Links that a cut parts: those at its places, less twice those within.
+        ends = np.bincount(x, minlength=len(order)) + np.bincount(y, minlength=len(order))
+        ends -= 2 * np.bincount(self.ancestors(np.array(up), size, x, y), minlength=len(order))
+        counted = np.r_[0, np.cumsum(ends)]
+        parted = counted[first + size[1:]] - counted[first]
+        regions = np.array([self.assign[zones[i]] for i in order])
+        now = int((regions[x] != regions[y]).sum())
+        gain = self.price.cost(part) + self.price.cost(rest) - self.costs[a] - self.costs[b] + self.price.cut(parted - now)
+        gain += self.price.floors(part[:, PEOPLE]) + self.price.floors(rest[:, PEOPLE]) - self.floors[a] - self.floors[b]
+        return np.r_[0.0, gain], order, size
+
+    def recombine(self) -> bool:
+        """Two regions side by side become one, a random spanning tree is cut where it is best, by chance and gain."""
+        if not self.border:
             return False
-        cuts, gain = order[1:], self.cut_gains(a, b, zones, links, order, parent)
-        odds = np.exp(-(gain - gain.min()) / self.settings.temperature)
-        pick = int(self.rng.choice(len(gain), p=odds / odds.sum()))
+        z = self.border[int(self.draw() * len(self.border))]
+        a = self.assign[z]
+        beside = sorted({self.assign[w] for w in self.near[z]} - {a})
+        b = beside[int(self.draw() * len(beside))]
+        zones, inside = [z], {z}
+        for at in zones:
+            for w in self.near[at]:
+                if w not in inside and self.assign[w] in (a, b):
+                    inside.add(w)
+                    zones.append(w)
+        if len(zones) < self.size[a] + self.size[b]:
+            return False
+        found = self.cut_gains(a, b, zones)
+        if found is None:
+            return False
+        gains, order, size = found
+        pick = self.chosen(gains)
         if not pick:
             return False
-        branch, stack = set(), [cuts[pick - 1]]
-        while stack:
-            x = stack.pop()
-            branch.add(x)
-            stack += [y for y in tree[x] if parent[y] == x]
-        part = zones[sorted(branch)]
+        part = [zones[i] for i in order[pick : pick + int(size[pick])]]
         # The part keeps the number of the region that has more of its people.
-        first, second = (a, b) if self.people[part][self.assign[part] == a].sum() >= self.people[part][self.assign[part] == b].sum() else (b, a)
-        before = self.assign.copy()
-        self.assign[zones] = second
-        self.assign[part] = first
-        changed = np.flatnonzero(before != self.assign)
-        for z in changed:
-            for y in self.near[z]:
-                if before[y] == self.assign[y] or z < y:
-                    self.cut += int(self.assign[z] != self.assign[y]) - int(before[z] != before[y])
-        for r in (a, b):
-            mine = self.assign == r
-            self.total[r], self.size[r] = self.people[mine].sum(), mine.sum()
+        people = self.masses[part, PEOPLE]
+        was_a = np.array([self.assign[x] == a for x in part])
+        first, second = (a, b) if people[was_a].sum() >= people[~was_a].sum() else (b, a)
+        inside = set(part)
+        to_first = [x for x in part if self.assign[x] != first]
+        to_second = [x for x in zones if x not in inside and self.assign[x] != second]
+        for group, home, to in ((to_first, second, first), (to_second, first, second)):
+            if group:
+                edges = self.edges_by_region(group)
+                self.move(group, home, to, edges.get(home, 0) - edges.get(to, 0))
+        whole = self.sums[a] + self.sums[b]
+        self.sums[first] = self.masses[part].sum(axis=0)
+        self.sums[second] = whole - self.sums[first]
+        pair = self.sums[[a, b]]
+        self.costs[[a, b]], self.floors[[a, b]] = self.price.cost(pair), self.price.floors(pair[:, PEOPLE])
         self.keep_best()
         return True
 
-    def run(self, grow_only: bool = False, recombine: bool = True) -> np.ndarray:
-        self.build()
+    def run(self, grow_only: bool = False, recombine: bool = True) -> list[int]:
+        if self.assign and self.assign[0] < 0:
+            self.build()
         if not grow_only:
             for i in range(1, self.settings.steps + 1):
                 if recombine and i % self.settings.recombine_every == 0:
                     self.recombine()
                 else:
                     self.step()
-        return self.best_assign if self.best_assign is not None else self.assign
+        return self.best_assign
+
+
+ZONE_COLUMNS = ("people", "area", "x", "y")
 
 
 def search(zones: DataFrame, edges: DataFrame, runs: DataFrame, settings: Settings, mode: str) -> DataFrame:
-    """zones (zone, people), edges (a, b), runs (run, n, seed) -> run, n, seed, zone, region, score of the best map.
+    """zones (zone, people, and if wanted area, x, y, and a value and n_ column for each term), edges (a, b), runs (run, n, seed) ->
+    run, n, seed, zone, region, score of the best map.
 
-    Each run is one group. Zones and edges of a study area are thousands; they go with each run, and are refused beyond a million.
+    Each run is one group. Zones of a study area are thousands to a million; each run gets them, in one array of rows.
     """
+    if mode not in ("build", "optimise", "recombine"):
+        raise ValueError(f"mode {mode}")
     near = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.sort_array(F.collect_list("b")).alias("near"))
-    every = zones.join(near, zones["zone"] == near["a"], "left").select("zone", F.col("people").cast("double"), F.coalesce("near", F.array().cast("array<long>")).alias("near"))
-    if every.limit(1_000_001).count() > 1_000_000:
-        raise ValueError("more than a million zones in a search")
-    joined = runs.join(F.broadcast(every), F.lit(True))
+    names = [c for c in ZONE_COLUMNS if c in zones.columns]
+    terms = [(t.name, f"n_{t.name}") for t in settings.terms]
+    columns = [F.col(c).cast("double").alias(c) for c in (*names, *(c for pair in terms for c in pair))]
+    every = zones.join(near, zones["zone"] == near["a"], "left").select("zone", *columns, F.coalesce("near", F.array().cast("array<long>")).alias("near"))
+    dealt = runs.select("run", "n", "seed", F.lit(1).alias("_all")).join(every.withColumn("_all", F.lit(1)), "_all").drop("_all")
 
     def one(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("zone").reset_index(drop=True)
         place = {z: i for i, z in enumerate(table["zone"])}
-        neighbours = [np.array([place[w] for w in ws], int) for ws in table["near"]]
-        run = Regions(table["people"].to_numpy(), neighbours, int(table["n"].iloc[0]), int(table["seed"].iloc[0]), settings)
-        table["region"] = run.run(grow_only=mode == "build", recombine=mode == "recombine").astype("int32")
+        found = Zones(
+            table["people"].to_numpy(), [[place[w] for w in ws] for ws in table["near"]],
+            *(table[c].to_numpy() if c in names else None for c in ("area", "x", "y")),
+            values=[(table[v].to_numpy(), table[n].to_numpy()) for v, n in terms],
+        )
+        run = Regions(found, int(table["n"].iloc[0]), int(table["seed"].iloc[0]), settings)
+        table["region"] = np.array(run.run(grow_only=mode == "build", recombine=mode == "recombine"), np.int32)
         table["score"] = run.best
         return table[["run", "n", "seed", "zone", "region", "score"]]
 
-    return joined.groupBy("run").applyInPandas(one, "run int, n int, seed int, zone long, region int, score double")
+    return dealt.groupBy("run").applyInPandas(one, "run int, n int, seed int, zone long, region int, score double")

@@ -180,6 +180,56 @@ def region_score(spark, d):
     return R.score(sums, {"equality": (2.0, 1.0), "alike": (1.0, 0.5)})
 
 
+#: Cells by brand: people, a value that is like their size, and three parties by key; sizes of a typical move from zone to zone.
+BRANDS = 25
+MAP_SQL = f"""{LATTICE_SQL}, zones AS (SELECT zone, p_brand AS region, x, y, 1 + p_size % 7 AS people, p_size / 50 AS value, zone % 3 AS party FROM cells),
+v AS (SELECT region, party, CAST(sum(people) AS DOUBLE) AS votes FROM zones GROUP BY ALL),
+m AS (SELECT region, party, votes, (votes - coalesce((SELECT max(o.votes) FROM v o WHERE o.region = v.region AND o.party <> v.party), 0)) / sum(votes) OVER (PARTITION BY region) AS margin FROM v),
+c AS (SELECT p.region AS ra, q.region AS rb FROM edges JOIN zones p ON p.zone = a JOIN zones q ON q.zone = b WHERE p.region <> q.region),
+k AS (SELECT region, count(*) AS cut FROM (SELECT ra AS region FROM c UNION ALL SELECT rb FROM c) GROUP BY 1),
+s AS (SELECT region, count(*) AS zones, CAST(sum(people) AS DOUBLE) AS people, CAST(count(*) AS DOUBLE) AS area, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS sxx, count(*) / (2 * pi()) AS own,
+  sum(people * x) AS px, sum(people * y) AS py, sum(people * (x * x + y * y)) AS pxx, sum(value * people) / sum(people) AS value FROM zones GROUP BY 1),
+w AS (SELECT CAST(sum(people) AS DOUBLE) / {BRANDS} AS target, sum(value * people) / sum(people) AS mean FROM zones),
+r AS (SELECT s.region, zones, people, target, mean, (people - target) / target AS deviation, 2 * pi() * (sxx - (sx * sx + sy * sy) / area + own) / (area * area) AS land,
+  2 * pi() * (pxx - (px * px + py * py) / people) / (people * area) AS people_land, value, coalesce(cut, 0) AS cut FROM s JOIN w ON true LEFT JOIN k USING (region))"""
+
+
+def _map(spark, d):
+    """(zones, edges, votes) of the lattice, regions being brands."""
+    cells = lattice(spark, d)
+    zones = cells.select(
+        "zone", F.col("p_brand").alias("region"), "x", "y", F.lit(1.0).alias("area"), F.lit(1 / (2 * math.pi)).alias("own"), (1 + F.col("p_size") % 7).cast("double").alias("people"),
+        (F.col("p_size") / 50).alias("value"), (1 + F.col("p_size") % 7).cast("double").alias("n"), (F.col("zone") % 3).alias("party"),
+    )
+    return zones, _edges(spark, d), zones.groupBy("region", "party").agg(F.sum("people").alias("votes"))
+
+
+@query(f"""WITH {MAP_SQL}, f AS (SELECT region, party AS winner, margin FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY margin DESC, party) AS i FROM m) WHERE i = 1)
+SELECT region, zones, people, round(deviation, 6) AS deviation, round(land, 6) AS land, round(people_land, 6) AS people_land, round(value, 6) AS value, cut, winner, round(margin, 6) AS margin FROM r JOIN f USING (region)""")
+def region_summary(spark, d):
+    """All readouts of a map's regions."""
+    found = R.summary(*_map(spark, d), BRANDS)
+    rounded = [F.round(c, 6).alias(c) for c in ("deviation", "land", "people_land", "value", "margin")]
+    return found.select("region", "zones", "people", "cut", "winner", *rounded)
+
+
+@query(f"""WITH {MAP_SQL}, g AS (SELECT count(*) AS n, CAST(sum(people * people) AS DOUBLE) / count(*) AS people_sigma FROM zones),
+e AS (SELECT 2.0 * count(*) / (SELECT n FROM g) / 24 AS cut_sigma FROM edges),
+x AS (SELECT sum(pow(people - target, 2)) / any_value(people_sigma) AS people, sum(land - 1) / (25.0 / any_value(n)) AS shape, sum(people_land - 1) / (25.0 / any_value(n)) AS people_shape, sum(cut) / 2 / any_value(cut_sigma) AS cut,
+  sum(pow(value - mean, 2)) / (2 * 0.05 * 0.3 * 25 / any_value(n)) AS average, sum(1 / (1 + exp((coalesce(m.margin, 0) - 0) * 50))) / (0.05 * 25 / any_value(n) * 50 / 4) AS margin, max(abs(deviation)) AS worst, stddev_pop(value) AS spread,
+  sum(CASE WHEN people >= 0.2 * target THEN 0 ELSE 1 + pow(1 - people / (0.2 * target), 2) / (people / (0.2 * target)) END) AS floors FROM r JOIN g ON true JOIN e ON true LEFT JOIN m ON m.region = r.region AND m.party = 0)
+SELECT round(people, 6) AS people, round(shape, 6) AS shape, round(people_shape, 6) AS people_shape, round(cut, 6) AS cut, round(average, 6) AS average, round(margin, 6) AS margin, round(worst, 6) AS worst, round(spread, 6) AS spread,
+  round((people + 0.5 * shape + 0.5 * people_shape + cut + 2 * average + margin) / 6 + 300000 * floors, 5) AS score FROM x""")
+def map_score(spark, d):
+    """All terms of the score of a map: people, both shapes, cut, a demographic near its mean, a party's margin in the regions, and floors."""
+    zones, edges, votes = _map(spark, d)
+    one = zones.agg(F.count("*").alias("n"), F.avg(F.col("people") * F.col("people")).alias("people")).first()
+    n, step = one["n"], BRANDS / max(1, one["n"])
+    sigmas = {"people": one["people"] or 1.0, "shape": step, "people_shape": step, "cut": 2.0 * edges.count() / max(1, n) / 24, "average": 2 * 0.05 * 0.3 * step, "margin": 0.05 * step * 50 / 4}
+    weights = {"people": 1.0, "shape": 0.5, "people_shape": 0.5, "cut": 1.0, "average": 2.0, "margin": 1.0}
+    return R.terms(R.summary(zones, edges, votes, BRANDS), R.margins(votes).filter("party = 0"), sigmas, weights, 0.0, 50.0)
+
+
 @query(f"""WITH {ZONES_SQL}, m AS (SELECT sum(people * value) / sum(people) AS mean FROM z)
 SELECT region, round(pow(value - mean, 2), 6) AS average, round(-pow(least(abs(value - mean), 0.4), 2), 6) AS extreme, round(1 / (1 + exp((value - 12) * 3)), 6) AS gerrymander, value >= 12 AS won FROM z, m""")
 def demographic_terms(spark, d):

@@ -1,4 +1,4 @@
-"""Searches for maps over the lattice: no SQL says the same; tests hold them to what any map must fulfil."""
+"""Searches for maps over the lattice: no SQL says the same; tests hold their rows, connectedness and scores to the scorer's."""
 
 from __future__ import annotations
 
@@ -10,12 +10,17 @@ from .graphs import _edges
 
 QUERIES, ORACLES = {}, {}
 RUNS = ((0, 4, 7), (1, 18, 7))
+#: Cells are squares of one unit; all terms of the score that the lattice has data for.
+SETTINGS = Settings(steps=2000, people_weight=1.0, cut_weight=1.0, shape_weight=0.5, people_shape_weight=0.5)
 
 
-def _searched(spark, d, mode, steps=600):
-    zones = lattice(spark, d).select("zone", (1 + F.col("p_size") % 7).alias("people"))
+def zones_of(spark, d):
+    return lattice(spark, d).select("zone", (1 + F.col("p_size") % 7).alias("people"), F.lit(1.0).alias("area"), "x", "y")
+
+
+def _searched(spark, d, mode):
     runs = spark.createDataFrame(list(RUNS), "run int, n int, seed int")
-    return search(zones, _edges(spark, d), runs, Settings(steps=steps), mode).select("run", "n", "seed", "zone", "region", F.round("score", 6).alias("score"))
+    return search(zones_of(spark, d), _edges(spark, d), runs, SETTINGS, mode).select("run", "n", "seed", "zone", "region", F.round("score", 6).alias("score"))
 
 
 def search_build(spark, d):
