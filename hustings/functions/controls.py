@@ -1,44 +1,92 @@
-"""Settings of a search from the places of sliders, and colours of regions."""
+"""Settings of a search from where sliders stand: each control is a ladder of the values it can take."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Up to which weight a grid of which width holds.
-GRIDS = ((0.5, 0.01), (1.0, 0.05), (5.0, 0.1), (math.inf, 0.5))
-GOLDEN_ANGLE = 137.508
+#: How far apart weights are in hundredths, up to which weight.
+RUNGS = ((0.5, 1), (1.0, 5), (5.0, 10), (1000.0, 50))
+#: Degrees of hue from region to region, saturations and lights that they take in turn.
+GOLDEN_ANGLE, SATURATIONS, LIGHTS = 137.508, (62, 71, 80), (56, 65)
 
 
-def snapped(weight: float) -> float:
-    """A weight on the grid of its size, halves upward."""
-    grid = next(width for below, width in GRIDS if weight < below)
-    return round(math.floor(weight / grid + 0.5) * grid, 2)
+def _weights() -> list[float]:
+    out, at = [0.0], 0
+    for end, apart in RUNGS:
+        while at + apart <= round(end * 100):
+            at += apart
+            out.append(at / 100)
+    return out
 
 
-def weight_at(place: float, lowest: float | None = None) -> float:
-    """The weight of a logarithmic slider; 0 in its lowest place, where that means off."""
-    return 0.0 if lowest is not None and place <= lowest + 1e-9 else snapped(10.0**place)
+WEIGHTS = _weights()
 
 
-def speed_at(place: float) -> float:
-    """Two decades below the middle, one above."""
-    return 10.0 ** (place * (2 if place < 0 else 1))
+def nearest_weight(weight: float) -> float:
+    """The weight on the ladder that is next to this one, the upper of two alike."""
+    above = min(bisect_left(WEIGHTS, weight), len(WEIGHTS) - 1)
+    below = max(0, above - 1)
+    return WEIGHTS[above] if WEIGHTS[above] - weight <= weight - WEIGHTS[below] + 1e-12 else WEIGHTS[below]
 
 
-def interval_at(place: float, highest: float) -> float:
-    """Moves between recombinations; never, in the highest place."""
-    return math.inf if place >= highest - 1e-9 else float(math.floor(10.0**place + 0.5))
+@dataclass(frozen=True)
+class Slider:
+    """A logarithmic slider from `low` to `high`, in powers of ten. `off` is the end at which it is switched off, if any: "low" or "high"."""
 
+    low: float
+    high: float
+    off: str | None = None
 
-def one_knob(places: Sequence[float]) -> float:
-    """One place for several logarithmic sliders: the geometric mean of their weights."""
-    return sum(places) / len(places)
+    def value(self, place: float) -> float:
+        if not self.low - 1e-9 <= place <= self.high + 1e-9:
+            raise ValueError(f"place {place} is not between {self.low} and {self.high}")
+        if self.off == "low" and place - self.low < 1e-9:
+            return 0.0
+        if self.off == "high" and self.high - place < 1e-9:
+            return math.inf
+        return math.pow(10, place)
+
+
+#: The controls of a search, by the field of its settings. Population has no off.
+SLIDERS = {
+    "people_weight": Slider(-1.0, 1.0), "cut_weight": Slider(-1.0, 1.0, "low"), "shape_weight": Slider(-1.0, 1.0, "low"),
+    "people_shape_weight": Slider(-1.0, 1.0, "low"), "temperature": Slider(-1.0, 1.0), "recombine_every": Slider(0.0, 3.0, "high"),
+}
+
+
+def settings_from(places: Mapping[str, float]) -> dict[str, float]:
+    """Fields of a search's Settings from the places of its sliders: weights on the ladder, whole moves between recombinations."""
+    if unknown := set(places) - set(SLIDERS):
+        raise ValueError(f"no slider {sorted(unknown)[0]}")
+    out = {}
+    for name, place in places.items():
+        value = SLIDERS[name].value(place)
+        out[name] = nearest_weight(value) if name.endswith("weight") else value if math.isinf(value) or name == "temperature" else int(value + 0.5)
+    return out
+
+
+def speed(place: float) -> float:
+    """Moves a second beside the usual: two decades below the middle of the slider, one above."""
+    return math.pow(10, max(place, 0.0) + 2 * min(place, 0.0))
+
+
+def one_compactness(land: float, people: float, cut: float) -> float:
+    """One weight for three: their geometric mean; 0 if one of them is off."""
+    return nearest_weight(math.prod((land, people, cut)) ** (1 / 3))
+
+
+def three_weights(compactness: float) -> dict[str, float]:
+    """The same weight for land, people and cuts."""
+    return dict.fromkeys(("shape_weight", "people_shape_weight", "cut_weight"), nearest_weight(compactness))
 
 
 def colour(region: Column) -> Column:
-    """Hues a golden angle apart, in three strengths and two lights."""
-    return F.format_string("hsl(%.1f, %d%%, %d%%)", (region * GOLDEN_ANGLE) % 360, (62 + (region % 3) * 9).cast("int"), (56 + (region % 2) * 9).cast("int"))
+    """Hues a golden angle apart, saturations and lights in turn."""
+    turn = lambda values: F.get(F.array(*map(F.lit, values)), (region % len(values)).cast("int"))
+    return F.format_string("hsl(%.1f, %d%%, %d%%)", (region * GOLDEN_ANGLE) % 360, turn(SATURATIONS), turn(LIGHTS))

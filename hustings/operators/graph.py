@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import segment_metres
 
+#: Declared names are a list written by hand.
+MOST_DECLARED = 10_000
+#: Strips into which a polygon's height is cut.
+STRIPS = 256
+
 
 def segments(vertices: DataFrame) -> DataFrame:
     """Rings as vertices (zone, part, ring, seq, x, y) -> zone and its undirected segments (p, q), lesser end first.
@@ -56,21 +61,6 @@ def degrees(zones: DataFrame, edges: DataFrame) -> DataFrame:
     return zones.join(both_ways(edges).groupBy("a").agg(F.count("*").alias("degree")), "a", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
 
 
-def hops(edges: DataFrame, start: Column, cap: int = 40) -> DataFrame:
-    """Zones within `cap` steps of `start`, and how many: a recursion that Spark runs round by round."""
-    spark = edges.sparkSession
-    both_ways(edges).createOrReplaceTempView("hop_edges")
-    first = spark.range(1).select(start.alias("s")).first()["s"]
-    reached = spark.sql(
-        f"""WITH RECURSIVE walk(zone, hops) MAX RECURSION LEVEL {cap + 1} AS (
-          SELECT {first!r}L, 0
-          UNION ALL
-          SELECT DISTINCT e.b, w.hops + 1 FROM walk w JOIN hop_edges e ON e.a = w.zone WHERE w.hops < {cap})
-        SELECT zone, min(hops) AS hops FROM walk GROUP BY zone"""
-    )
-    return reached
-
-
 def frontier_hops(edges: DataFrame, start: int, cap: int) -> DataFrame:
     """The same by frontiers: each round joins only the zones it reached, and cuts its lineage."""
     spark = edges.sparkSession
@@ -88,7 +78,10 @@ def frontier_hops(edges: DataFrame, start: int, cap: int) -> DataFrame:
 def _cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        given = context.getConf().get("spark.checkpoint.dir")
+        if not given and not context.master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(given or "/tmp/checkpoints")
     return df.checkpoint()
 
 
@@ -113,13 +106,24 @@ def components(zones: DataFrame, edges: DataFrame) -> DataFrame:
     return zones.join(now.withColumnsRenamed({"u": "zone", "v": "component"}), "zone", "left").withColumn("component", F.coalesce("component", "zone"))
 
 
+def resolved(wanted: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """wanted with the zone of its `name`; a name that no zone or more than one has is refused. `wanted` is a literal list, checked to be short."""
+    if wanted.limit(MOST_DECLARED + 1).count() > MOST_DECLARED:
+        raise ValueError(f"more than {MOST_DECLARED} names")
+    found = names.select(F.col("name").alias(name), "zone").join(F.broadcast(wanted.select(name).distinct()), name).groupBy(name).agg(F.min("zone").alias("zone"), F.count("*").alias("zones"))
+    joined = _cut(wanted.join(found, name, "left"))
+    if bad := joined.filter("zones is null or zones > 1").select(name).first():
+        raise ValueError(f"{bad[0]!r} isn't the name of one zone")
+    return joined.drop("zones")
+
+
 def crossing_edges(edges: DataFrame, declared: DataFrame, names: DataFrame) -> DataFrame:
-    """Edges with declared crossings (name_a, name_b) added; one that is a boundary already is refused, by join."""
-    a = names.select(F.col("name").alias("name_a"), F.col("zone").alias("za"))
-    b = names.select(F.col("name").alias("name_b"), F.col("zone").alias("zb"))
-    resolved = declared.join(F.broadcast(a), "name_a").join(F.broadcast(b), "name_b").select(F.least("za", "zb").alias("a"), F.greatest("za", "zb").alias("b"))
-    fresh = resolved.join(edges.select("a", "b"), ["a", "b"], "left_anti").withColumn("kind", F.lit("crossing"))
-    return edges.withColumn("kind", F.lit("boundary")).unionByName(fresh, allowMissingColumns=True)
+    """Edges with declared crossings (name_a, name_b) added. Unknown and ambiguous names are refused, and pairs that share a boundary already."""
+    both = resolved(resolved(declared, names, "name_a").withColumnRenamed("zone", "za"), names, "name_b")
+    fresh = both.select(F.least("za", "zone").alias("a"), F.greatest("za", "zone").alias("b"))
+    if bad := edges.select("a", "b").join(F.broadcast(fresh), ["a", "b"]).first():
+        raise ValueError(f"zones {bad['a']} and {bad['b']} share a boundary already")
+    return edges.withColumn("kind", F.lit("boundary")).unionByName(fresh.withColumn("kind", F.lit("crossing")), allowMissingColumns=True)
 
 
 def with_regions(edges: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -157,12 +161,20 @@ def proximity(points: DataFrame, radius: float) -> DataFrame:
 def contains(points: DataFrame, edges: DataFrame) -> DataFrame:
     """points (id, x, y) inside polygons given as ring edges (part, ring, x1, y1, x2, y2), ring 0 the outer one.
 
-    Crossings of a ray are counted by ring: odd within the outer ring, even within each hole.
+    Crossings of a ray are counted by ring: odd within the outer ring, even within each hole. The height is cut into strips; an
+    edge goes to the strips that it passes, so a point meets the edges at its own height only, by an equi-join.
     """
-    hit = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1"))
-    rings = points.join(F.broadcast(edges), F.lit(True)).groupBy("id", "part", "ring").agg((F.sum(F.coalesce(hit, F.lit(False)).cast("int")) % 2 == 1).alias("odd"))
-    parts = rings.groupBy("id", "part").agg((F.bool_or(F.col("odd") & (F.col("ring") == 0)) & ~F.bool_or(F.col("odd") & (F.col("ring") > 0))).alias("inside"))
-    return parts.groupBy("id").agg(F.bool_or("inside").alias("inside"))
+    bounds = edges.agg(F.min(F.least("y1", "y2")).alias("low"), F.max(F.greatest("y1", "y2")).alias("high")).first()
+    low, high = bounds["low"] or 0.0, bounds["high"] or 0.0
+    width = (high - low) / STRIPS or 1.0
+    strip = lambda y: F.floor((y - low) / width)
+    passed = edges.filter("y1 <> y2").withColumn("strip", F.explode(F.sequence(strip(F.least("y1", "y2")), strip(F.greatest("y1", "y2")))))
+    hit = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+    inner = points.filter(F.col("y").between(low, high)).withColumn("strip", strip(F.col("y")))
+    odd = inner.join(passed, "strip").filter(hit).groupBy("id", "part", "ring").agg((F.count("*") % 2 == 1).alias("odd")).filter("odd")
+    parts = odd.groupBy("id", "part").agg((F.bool_or(F.col("ring") == 0) & ~F.bool_or(F.col("ring") > 0)).alias("inside"))
+    found = parts.groupBy("id").agg(F.bool_or("inside").alias("inside"))
+    return points.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("inside", F.lit(False)).alias("inside"))
 
 
 def ring_centroids(vertices: DataFrame) -> DataFrame:

@@ -78,10 +78,14 @@ def majority_overlap(overlaps: DataFrame, zone: str, area: str, amount: str, spl
     return best.select(zone, area, F.round(share, 6).alias("share"), (share < split_below).cast("int").alias("split"), "n_areas")
 
 
-def upper_median(values: Column) -> Column:
-    """The middle element, the upper of two; not interpolated."""
-    every = F.sort_array(F.collect_list(values))
-    return F.element_at(every, (F.floor(F.size(every) / 2) + 1).cast("int"))
+def upper_median(rows: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
+    """by and `median`: the middle element of each group, the upper of two; not interpolated. Equal values are counted first, so a
+    group is never one array; nulls say nothing."""
+    counts = rows.select(*by, value.alias("_v")).filter("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    group = W.partitionBy(*by)
+    upto = F.sum("_n").over(group.orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    at = counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(group)})
+    return at.filter(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*by).agg(F.min("_v").alias("median"))
 
 
 def encode(rows: DataFrame, name: str, order: str) -> DataFrame:

@@ -182,7 +182,9 @@ SELECT area, round(v[len(v) // 2 + 1], 6) AS upper_median, len(v) AS n FROM s"""
 def missing_electorate(spark, d):
     """The figure that stands in for a missing one: the upper middle of an area's."""
     balance = X.percent(F.col("c_acctbal"))
-    return table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("area")).agg(F.round(O.upper_median(balance), 6).alias("upper_median"), F.count("*").alias("n"))
+    customer = table(spark, d, "customer").select(F.col("c_nationkey").alias("area"), "c_acctbal")
+    middle = O.upper_median(customer, ["area"], balance).select("area", F.round("median", 6).alias("upper_median"))
+    return middle.join(customer.groupBy("area").agg(F.count("*").alias("n")), "area")
 
 
 @query(f"""WITH {VOTES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY votes DESC, party) AS rk FROM votes)

@@ -1,16 +1,27 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from hustings.functions import controls as C
 from hustings.operators import tables as T
+from hustings.operators.search import Settings
+
+
+def test_weights_stand_on_the_ladder():
+    assert [C.nearest_weight(w) for w in (0.0, 0.191, 0.498, 0.52, 0.73, 3.14, 7.3, 9.75)] == [0, 0.19, 0.5, 0.5, 0.75, 3.1, 7.5, 10.0]
+    assert all(C.nearest_weight(w) == w for w in C.WEIGHTS)
 
 
 def test_sliders():
-    assert [C.snapped(w) for w in (0.191, 0.73, 3.14, 7.3)] == [0.19, 0.75, 3.1, 7.5]
-    assert C.weight_at(-1.0, lowest=-1.0) == 0 and C.weight_at(0.0) == 1.0
-    assert C.speed_at(-1) == 0.01 and C.speed_at(1) == 10 and C.interval_at(3, 3) == math.inf and C.interval_at(1.4, 3) == 25
-    assert C.one_knob([0.0, 1.0, 2.0]) == 1.0
+    got = C.settings_from({"people_weight": 0.0, "cut_weight": -1.0, "shape_weight": -0.719, "temperature": 0.5, "recombine_every": 1.4})
+    assert got == {"people_weight": 1.0, "cut_weight": 0.0, "shape_weight": 0.19, "temperature": 10**0.5, "recombine_every": 25}
+    assert C.settings_from({"recombine_every": 3.0})["recombine_every"] == math.inf and C.speed(-1) == 0.01 and C.speed(1) == 10
+    assert Settings(**C.settings_from({"people_weight": 0.3, "recombine_every": 3.0})).recombine_every == math.inf
+    assert C.one_compactness(0.1, 1.0, 10.0) == 1.0 and C.one_compactness(0, 1, 1) == 0 and set(C.three_weights(0.73).values()) == {0.75}
+    for bad in ({"speed": 0.0}, {"cut_weight": 2.0}):
+        with pytest.raises(ValueError):
+            C.settings_from(bad)
 
 
 def test_colours_and_ages(spark):

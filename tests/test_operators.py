@@ -135,8 +135,6 @@ def test_estimators():
     assert np.abs((seen / seen.sum(axis=1, keepdims=True)).mean(axis=0) - [0.5, 0.3, 0.2]).max() < 0.01 and abs(shift.sum()) < 1e-9
     w = M.mm_weights(np.array([[6.0, 3, 0], [0, 2, 2], [4, 0, 2]]), np.array([[1, 1, 0], [0, 1, 1], [1, 0, 1]]))
     assert abs(w.sum() - 1) < 1e-9 and w[0] > w[1]
-    cov = M.covariance(np.array([[0, 1.0, 2], [1, 0, 1.5], [2, 1.5, 0]]), np.full((3, 3), 9), [["x"] * 3] * 3, {"x": 3.0})
-    assert np.linalg.eigvalsh(cov["cov"]).min() > -1e-9
 
 
 def test_votes_of_one_region_equal_tables(spark):
@@ -163,6 +161,65 @@ def test_votes_of_one_region_equal_tables(spark):
             assert count.count(vs)[2].tolist() == (count_stv(vs, seats, moves, rates) if vs.sum() else [0] * 4)
 
 
+def test_covariance_of_errors():
+    """Variances by pair are those of the areas both stood in; what is drawn together keeps its kind's mean, and nothing is below zero."""
+    rng = np.random.default_rng(6)
+    seen, guess, stood = rng.dirichlet(np.ones(5), 40), rng.dirichlet(np.ones(5), 40), rng.random((40, 5)) < 0.8
+    variation, n = M.variation_of_errors(guess, seen, stood)
+    for i in range(5):
+        for j in range(i):
+            both = stood[:, i] & stood[:, j]
+            error = np.log(np.maximum(guess, 0.002)) - np.log(np.maximum(seen, 0.002))
+            assert n[i, j] == both.sum() and abs(variation[i, j] - (error[both, i] - error[both, j]).var(ddof=1)) < 1e-9
+    kinds = M.pair_kinds(["l", "l", "r", "r", "c"], ["l", "r", "c"])
+    assert kinds[0, 1] == "within l" and kinds[3, 0] == "l-r" and kinds[4, 2] == "r-c"
+    found = M.pooled_covariance(variation, n, kinds, {"l-r": 5.0})
+    assert np.linalg.eigvalsh(found["covariance"]).min() > -1e-9 and np.allclose(np.diag(found["correlation"]), 1)
+    tight = M.pooled_covariance(variation, n, kinds, dict.fromkeys(np.unique(kinds), 1e9))
+    if not len(tight["below_zero"]):
+        assert np.allclose(tight["correlation"][0, 2], tight["kind_means"]["l-r"], atol=1e-3)
+    with pytest.raises(ValueError, match="stood together"):
+        M.pooled_covariance(variation, np.minimum(n, 3), kinds, {})
+
+
+def test_transfer_matrix():
+    """Rows sum to 1, blocs pull where events are few, and cells set by hand stay."""
+    counts = np.array([[0.0, 60, 40, 0], [0, 50, 0, 50], [30, 0, 70, 0]])
+    there, source = np.array([[0, 1, 1, 0], [0, 1, 0, 1], [1, 0, 1, 1]]), np.array([0, 0, 1])
+    drawn, raw, shares = M.transfer_matrix(counts, there, source, ["x", "x", "y", "y"], fixed={(3, 2): 0.35})
+    assert np.allclose(drawn[:2].sum(axis=1), 1) and drawn[0, 0] == 0 and abs(raw[0].sum() - 1) < 1e-9
+    assert abs(shares["x", "x"] - 140 / 300) < 1e-9 and shares["y", "x"] == 0 and drawn[3, 2] == 0.35
+    plain = M.mm_weights(counts[:2], there[:2])
+    target = np.array([0, shares["x", "x"], shares["x", "y"] / 2, shares["x", "y"] / 2])
+    assert np.allclose(drawn[0], (2 * plain + 5 * target / target.sum()) / 7)
+
+
+def test_crossings_are_refused(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    names = spark.createDataFrame([("one", 1), ("two", 2), ("three", 3), ("twin", 4), ("twin", 5)], "name string, zone long")
+    declared = lambda *pairs: spark.createDataFrame(list(pairs), "name_a string, name_b string")
+    assert sorted(map(tuple, G.crossing_edges(edges, declared(("three", "one")), names).collect())) == [(1, 2, "boundary"), (1, 3, "crossing"), (2, 3, "boundary")]
+    for pair in (("one", "two"), ("one", "nowhere"), ("twin", "one")):
+        with pytest.raises(ValueError):
+            G.crossing_edges(edges, declared(("three", "one"), pair), names)
+
+
+def test_inside_polygons_with_holes(spark):
+    """Strips find what a ray through all edges does."""
+    rng = np.random.default_rng(8)
+    ring = lambda part, number, points: [(part, number, *a, *b) for a, b in zip(points, points[1:] + points[:1], strict=True)]
+    turn = [(math.cos(t) * float(r), math.sin(t) * float(r)) for t, r in zip(np.linspace(0, 2 * math.pi, 40, endpoint=False), 1 + rng.random(40), strict=True)]
+    edges = ring(0, 0, [(float(x), float(y)) for x, y in turn]) + ring(0, 1, [(-0.3, -0.3), (0.3, -0.3), (0.3, 0.3), (-0.3, 0.3)]) + ring(1, 0, [(3.0, 0.0), (4.0, 0.0), (3.5, 5.0)])
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-2.5, 5.5, (400, 2)))]
+    got = {r["id"]: r["inside"] for r in G.contains(spark.createDataFrame(points, "id int, x double, y double"), spark.createDataFrame(edges, "part int, ring int, x1 double, y1 double, x2 double, y2 double")).collect()}
+    for i, x, y in points:
+        odd = {}
+        for part, number, x1, y1, x2, y2 in edges:
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                odd[part, number] = not odd.get((part, number), False)
+        assert got[i] == any(odd.get((p, 0)) and not any(v for (q, k), v in odd.items() if q == p and k) for p in (0, 1))
+
+
 def lattice_zones(w, h, people, rng=None):
     near = [[n for n in (z - w, z + w, z - 1 if z % w else -1, z + 1 if z % w < w - 1 else -1) if 0 <= n < w * h] for z in range(w * h)]
     at = np.arange(w * h)
