@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -151,7 +153,8 @@ def events(stages: DataFrame) -> DataFrame:
 
     A stage whose sources were all below the quota excludes them, others pass on a surplus. Left out are stages with several
     sources, such as don't balance to 1 %, and such as give votes to candidates that are out or elected. For an exclusion
-    other_party_share is what of the pile came from other parties; for a surplus, 1 if another party's parcel elected it.
+    other_party_share is what of the pile came from other parties; for a surplus, 1 if another party's parcel elected it. `continuing` has all
+    candidates who could receive, with what they got.
     """
     before = W.partitionBy("area", "candidate").orderBy("stage").rowsBetween(W.unboundedPreceding, -1)
     by_stage = W.partitionBy("area", "stage")
@@ -172,9 +175,79 @@ def events(stages: DataFrame) -> DataFrame:
     going = ~F.col("source") & ~F.col("out") & (F.col("prev") < F.col("quota") - 1e-6)
     astray = F.sum(F.when(~F.col("source") & ~going, F.col("transfer")).otherwise(0.0)).over(by_stage)
     share = F.when(F.col("exclusion"), F.try_divide("other", "prev")).when(F.col("first_pref") >= F.col("quota") - 1e-6, 0.0).otherwise(F.coalesce("parcel", F.lit(0.0)))
-    ready = known.withColumns({"astray": astray, "receivers": F.count_if(going & (F.col("transfer") > 0)).over(by_stage)})
+    there = F.sort_array(F.collect_list(F.when(going, F.struct("candidate", "party", F.greatest(F.lit(0.0), F.col("transfer")).alias("votes")))).over(by_stage))
+    ready = known.withColumns({"astray": astray, "receivers": F.count_if(going & (F.col("transfer") > 0)).over(by_stage), "continuing": there})
     fine = F.col("source") & (F.col("sources") == 1) & (F.abs("balance") <= 0.01 * F.col("moved")) & (F.abs("astray") <= 0.01)
     return ready.filter(fine).select(
         "area", "stage", F.when(F.col("exclusion"), "exclusion").otherwise("surplus").alias("kind"), "party", F.col("moved").alias("votes_moved"),
-        F.col("nt").alias("non_transferable"), share.alias("other_party_share"), "receivers",
+        F.col("nt").alias("non_transferable"), share.alias("other_party_share"), "receivers", "continuing",
     )
+
+
+def clean(found: DataFrame, parties: Sequence[str], most_other: float = 0.25) -> DataFrame:
+    """Events that tell where a party's own voters go: of these parties, with no running mate still there, and little of other parties in the pile."""
+    mate = F.exists("continuing", lambda c: c["party"] == F.col("party"))
+    return found.filter(F.col("party").isin(list(parties)) & ~mate & (F.col("other_party_share") <= most_other))
+
+
+def exhaustion_rates(cleaned: DataFrame, parties: Sequence[str], fallback: float = 0.15) -> DataFrame:
+    """(party, rate): what of the votes that a party passed on went nowhere, to 4 places; `fallback` for one without events."""
+    sums = cleaned.groupBy("party").agg(F.sum("non_transferable").alias("nt"), F.sum("votes_moved").alias("moved"))
+    every = cleaned.sparkSession.createDataFrame([(p,) for p in parties], cleaned.select("party").schema)
+    return every.join(sums, "party", "left").select("party", F.coalesce(F.bround(F.try_divide("nt", F.nullif(F.col("moved"), F.lit(0.0))), 4), F.lit(fallback)).alias("rate"))
+
+
+def receipts(cleaned: DataFrame, parties: Sequence[str]) -> DataFrame:
+    """(event, src, dst, share) over the parties that could receive in an event, shares of what these received; events in which they got nothing are left out."""
+    events_ = cleaned.withColumn("event", F.xxhash64("area", "stage"))
+    got = events_.select("event", F.col("party").alias("src"), F.explode("continuing").alias("c")).filter(F.col("c.party").isin(list(parties)))
+    sums = got.groupBy("event", "src", F.col("c.party").alias("dst")).agg(F.sum("c.votes").alias("votes"))
+    whole = F.sum("votes").over(W.partitionBy("event"))
+    return sums.withColumn("_all", whole).filter("_all > 0").select("event", "src", "dst", (F.col("votes") / F.col("_all")).alias("share"))
+
+
+def availability(received: DataFrame) -> DataFrame:
+    """(src, dst, events, available): how many events a party has, and in how many each other could receive."""
+    by_src = received.groupBy("src").agg(F.count_distinct("event").alias("events"))
+    return received.groupBy("src", "dst").agg(F.count_distinct("event").alias("available")).join(F.broadcast(by_src), "src")
+
+
+def ballots_cast(voters: DataFrame, level: Column, thresholds: DataFrame | None, transfers: DataFrame, exhaustion: DataFrame, fptp: bool, tactical: bool = False) -> DataFrame:
+    """voters (area, party, votes: electors times turnout index) -> area, party, votes as cast, stands: brought to the turnout level, then parties that
+    don't stand lose theirs, then, under first past the post, tactical voters move."""
+    cast = voters.withColumn("votes", F.greatest(F.lit(0.0), F.col("votes")) * level)
+    if thresholds is not None:
+        found = standing_votes(cast, thresholds, transfers, exhaustion, by_share=fptp)
+        cast = found.select("area", "party", F.col("counted").alias("votes"), "stands")
+    else:
+        cast = cast.withColumn("stands", F.col("votes") > 0).select("area", "party", "votes", "stands")
+    if tactical and fptp:
+        moved = tactical_votes(cast.select("area", "party", "votes"), transfers).select("area", "party", F.col("cast_votes").alias("_cast"))
+        cast = cast.join(moved, ["area", "party"], "left").select("area", "party", F.coalesce("_cast", "votes").alias("votes"), "stands")
+    return cast
+
+
+def seats(cast: DataFrame, parties: Sequence[str], kind: str, n: int, moves: Sequence[Sequence[float]], rates: Sequence[float]) -> DataFrame:
+    """Votes as cast -> area, party, seats: one for the winner under fptp (ties to the earlier party), a transferable count for n under stv."""
+    if kind == "fptp":
+        won = winners(cast).select("area", F.col("winner").alias("party"), F.when(F.col("votes") > 0, 1).otherwise(0).alias("seats"))
+        return cast.select("area", "party").join(won, ["area", "party"], "left").select("area", "party", F.coalesce("seats", F.lit(0)).alias("seats"))
+    if kind != "stv":
+        raise ValueError(f"election {kind}")
+    rows = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in moves])
+    piles = cast.groupBy("area").pivot("party", list(parties)).agg(F.sum("votes")).na.fill(0.0, list(parties))
+    counted = piles.select("area", F.array(*[F.col(f"`{p}`") for p in parties]).alias("votes")).withColumns({"matrix": rows, "rates": F.array(*[F.lit(float(r)) for r in rates])})
+    won = counted.select("area", stv("votes", "matrix", "rates", n, len(parties))["won"].alias("won"))
+    names = F.array(*map(F.lit, parties))
+    return won.select("area", F.explode(F.arrays_zip(names.alias("party"), F.col("won").alias("seats"))).alias("z")).select("area", "z.party", "z.seats")
+
+
+def wedges(won: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(party, seats) -> where each party's wedge of all seats begins and ends, in turns of the circle, in the parties' order."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("party"))
+    whole = F.sum("seats").over(W.partitionBy())
+    upto = F.sum("seats").over(W.partitionBy(F.lit(1)).orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    sums = won.groupBy("party").agg(F.sum("seats").alias("seats")).withColumn("place", place)
+    return sums.withColumns({"end": F.coalesce(F.try_divide(upto, F.nullif(whole, F.lit(0))), F.lit(0.0)), "share": F.coalesce(F.try_divide("seats", F.nullif(whole, F.lit(0))), F.lit(0.0))}).select(
+        "party", "seats", (F.col("end") - F.col("share")).alias("begin"), "end"
+    )

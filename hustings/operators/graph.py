@@ -147,14 +147,17 @@ def frontier(edges: DataFrame, assignment: DataFrame) -> DataFrame:
     return cut_edges(edges, assignment).select(F.explode(F.array("a", "b")).alias("zone")).distinct()
 
 
-def proximity(points: DataFrame, radius: float) -> DataFrame:
+def proximity(points: DataFrame, radius: float, middle: bool = False) -> DataFrame:
     """points (zone, x, y) -> pairs within `radius`, and the least distance: cells of that width, each
-    point in its own, its neighbours' points looked up in the nine around."""
+    point in its own, its neighbours' points looked up in the nine around. With `middle`, also where the middle of the closest points lies."""
     cells = points.withColumns({"cx": F.floor(F.col("x") / radius), "cy": F.floor(F.col("y") / radius)})
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     spread = cells.select(F.col("zone").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(steps).alias("s"), "cx", "cy").select("b", "bx", "by", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
     gap = F.sqrt(F.pow(F.col("bx") - F.col("x"), 2) + F.pow(F.col("by") - F.col("y"), 2))
     near = cells.withColumnRenamed("zone", "a").join(spread, ["cx", "cy"]).filter("a < b").withColumn("gap", gap).filter(F.col("gap") <= radius)
+    if middle:
+        best = near.groupBy("a", "b").agg(F.min(F.struct("gap", ((F.col("x") + F.col("bx")) / 2).alias("mx"), ((F.col("y") + F.col("by")) / 2).alias("my"))).alias("m"))
+        return best.select("a", "b", "m.gap", "m.mx", "m.my")
     return near.groupBy("a", "b").agg(F.min("gap").alias("gap"))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import census, elections, graphs, models, searches
+from . import atlas, census, elections, graphs, models, searches
 
-_MODULES = (elections, census, graphs, models, searches)
+_MODULES = (elections, census, graphs, models, searches, atlas)
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -1,6 +1,7 @@
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from hustings.operators import tables as T
 from hustings.sources import sinks, workbooks
@@ -51,3 +52,44 @@ def test_cube_round_trip(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
     sinks.write_document(cells.filter("code = 'b'"), str(tmp_path / "doc"), "zone", "value")
     assert spark.read.text(str(tmp_path / "doc")).first()["value"] == '{"z1":2.0,"z2":5.0}'
+
+
+def test_cells_that_files_leave_out(spark, tmp_path):
+    """Rich texts, phonetic runs, truth values, formulas without a value, cells and rows without a reference, merged ranges, other name spaces and paths."""
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = (
+        '<row r="2"><c r="B2" t="s"><v>0</v></c><c><v>2.50</v></c><c t="b"><v>1</v></c><c t="str"><f>A1</f><v>made</v></c><c><f>1+1</f></c></row>'
+        '<row><c t="inlineStr"><is><r><t>in</t></r><r><t>line</t></r></is></c><c t="e"><v>#N/A</v></c></row>'
+    )
+    with zipfile.ZipFile(tmp_path / "odd.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://x"><sheets><sheet name="S" r:id="a"/><sheet name="T" r:id="b"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="/xl/worksheets/s.xml"/><Relationship Id="b" Target="worksheets/../worksheets/t.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><r><t>ri</t></r><r><t>ch</t></r><rPh><t>no</t></rPh></si></sst>")
+        z.writestr("xl/worksheets/s.xml", f'<worksheet {main}><sheetData>{sheet}</sheetData><mergeCells><mergeCell ref="B2:C3"/></mergeCells></worksheet>')
+        z.writestr("xl/worksheets/t.xml", f"<worksheet {main}><sheetData/></worksheet>")
+    data = (tmp_path / "odd.xlsx").read_bytes()
+    assert list(workbooks.parse(data)) == [
+        ("S", 1, 1, "rich", None), ("S", 1, 2, "2.50", 2.5), ("S", 1, 3, "TRUE", None), ("S", 1, 4, "made", None), ("S", 2, 0, "inline", None), ("S", 2, 1, "#N/A", None),
+    ]
+    assert [c for c in workbooks.parse(data, fill_merged=True)][6:] == [("S", 1, 2, "rich", None), ("S", 2, 1, "rich", None), ("S", 2, 2, "rich", None)]
+    with pytest.raises(ValueError):
+        workbooks.place("12")
+
+
+def test_tables_of_sheets(spark, tmp_path):
+    """Names of columns in the row below the header, filler rows of 0, a second table that repeats the header, and blank rows."""
+    rows = [["Electorate", 900], ["Candidate", None, "First"], [None, "Party", "Preference"], ["Ann", "Red", 5], ["0", 0, 0], [], ["Bob", "Blue", 7], [], [], ["Cy", "Red", 1], ["Candidate", "Party", "First"], ["Dee", "x", 3]]
+    book(tmp_path / "c.xlsx", rows)
+    cells = workbooks.workbook_cells(spark, f"{tmp_path}/c.xlsx")
+    columns = {"name": "Candidate", "party": "Party", "votes": "First"}
+    got = workbooks.tables_of(cells, "Candidate", columns, {"electorate": "Elect"}, blanks=2).orderBy("row").collect()
+    assert [(r["name"], r["party"], r["votes"], r["electorate"]) for r in got] == [("Ann", "Red", "5", "900.0"), ("Bob", "Blue", "7", "900.0")]
+    far = workbooks.candidate_rows(cells, "Candidate", columns, blanks=3).collect()
+    assert {r["name"] for r in far} == {"Ann", "0", "Bob", "Cy"}
+
+
+def test_other_sinks(spark, tmp_path):
+    cells = spark.createDataFrame([("z1", 1.23456789), ("z2", -0.5)], "zone string, x double").withColumn("y", F.col("x"))
+    sinks.write_lines(cells, str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).count() == 2
+    assert sinks.snapped(cells, 5).orderBy("zone").first()["x"] == 1.23457
