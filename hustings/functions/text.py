@@ -18,8 +18,8 @@ def slug(label: Column, longest: int = 40) -> Column:
 
 
 def plain_spaces(text: Column) -> Column:
-    """Dashes and quotes as ASCII, white space as single spaces. Canonical composition is `composed`."""
-    return F.btrim(F.regexp_replace(F.translate(text, "–—’", "--'"), r"\s+", " "))
+    """Dashes and quotes as ASCII, white space of any script as single spaces. Canonical composition is `composed`."""
+    return F.btrim(F.regexp_replace(F.translate(text, "–—’", "--'"), r"(?U)\s+", " "))
 
 
 def composed(text: Column) -> Column:
@@ -51,6 +51,26 @@ def printed_number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit("")).try_cast("double")
 
 
+def whole_number(text: Column) -> Column:
+    """A printed number rounded to a whole one, halves to even; null for what isn't a number."""
+    return F.bround(printed_number(text), 0).cast("long")
+
+
+def amount(text: Column) -> Column:
+    """A printed number; 0 where nothing is printed, null for what isn't a number."""
+    return F.when(F.btrim(F.coalesce(text, F.lit(""))).isin("", "-"), 0.0).otherwise(printed_number(text))
+
+
+def normal_spaces(text: Column) -> Column:
+    """`plain_spaces` of the composed form."""
+    return plain_spaces(composed(text))
+
+
+def file_stem(path: Column) -> Column:
+    """The name of a file without folders and ending."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
+
+
 def percent(share: Column) -> Column:
     """Shares printed as fractions (0 to 1.5) in percent."""
     return F.when((share > 0) & (share < 1.5), share * 100).otherwise(share)

@@ -11,6 +11,7 @@ from hustings.functions import text as X
 from hustings.operators import ballots as B
 from hustings.operators import election as E
 from hustings.operators import estimators as M
+from hustings.operators import fits
 from hustings.operators import graph as G
 from hustings.operators import scoring as R
 from hustings.operators import search as Q
@@ -65,6 +66,28 @@ def test_text(spark):
     assert tuple(row) == ("aged_65", "downandards", "Ards Peninsula", 1234.5, 55.51, None)
 
 
+def test_names_and_numbers(spark):
+    """Spaces, dashes and composed letters; rows that aren't candidates; numbers with blanks; mergers' names; file names."""
+    rows = spark.createDataFrame([("  Cafe\u0301 \u2013\u00a0 l\u2019Eau ", "Non-Transferable votes", "1,234.5", "", "s3://a/b/North Down.v2.xlsx"), (None, "Total", "2.5", None, "x"), ("a", "Tomas", "x", "-", "")], "a string, b string, c string, d string, e string")
+    got = rows.select(X.normal_spaces(F.col("a")), X.skip_row(F.col("b")), X.whole_number(F.col("c")), X.amount(F.col("d")), X.amount(F.col("c")), X.file_stem(F.col("e"))).collect()
+    assert [tuple(r) for r in got] == [("Caf\u00e9 - l'Eau", True, 1234, 0.0, 1234.5, "North Down.v2"), (None, True, 2, 0.0, 2.5, "x"), ("a", False, None, 0.0, None, "")]
+    merged = spark.createDataFrame([(["B", "A"],), (["C", "A"],)], "m array<string>").select(X.set_name(F.col("m"), {"A+B": "Both"}).alias("n")).collect()
+    assert [r["n"] for r in merged] == ["Both", "C-A"]
+
+
+def test_prediction_columns(spark):
+    """Clipping and standardising, dot products and shares equal the arrays' model."""
+    rng = np.random.default_rng(3)
+    x, slopes, base = rng.normal(size=(20, 3)) * 3, rng.normal(size=(4, 3)), rng.normal(size=4)
+    low, high, mean, sd = x[:10].min(axis=0), x[:10].max(axis=0), x[:10].mean(axis=0), np.array([1.0, 2.0, 0.0])
+    model = fits.SupportModel(base, slopes, low, high, mean, sd)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").coalesce(1)
+    held = F.array(*[S.clipped(F.col(c), F.lit(float(low[i])), F.lit(float(high[i])), F.lit(float(mean[i])), F.lit(float(sd[i]))) for i, c in enumerate("abc")])
+    scores = F.array(*[S.dot(F.col("h"), F.array(*[F.lit(float(v)) for v in slopes[k]])) + float(base[k]) for k in range(4)])
+    got = df.withColumn("h", held).select(S.softmax(scores).alias("p")).collect()
+    assert np.allclose([list(r["p"]) for r in got], model.predict(x))
+
+
 def test_flatten_refuses_other_forms(spark):
     bad = spark.createDataFrame([('{"table":{"dimensions":[{"count":2,"variable":{"name":"Z"},"categories":[{"code":"a","label":"A"}]}],"values":[1,2]}}',)], "json string")
     with pytest.raises(Exception, match="not a table"):
