@@ -35,6 +35,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     given = context.getConf().get("spark.checkpoint.dir")
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not given and not context.master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(given or "/tmp/checkpoints")
         current = context._jsc.sc().getCheckpointDir()
     return current.get()
@@ -55,6 +57,34 @@ def cut(df: DataFrame, release: bool = False) -> DataFrame:
     return out
 
 
+#: Bits for each key of a filter, and its most bits: 32 MB, whatever the number of keys.
+BITS_PER_KEY, MOST_BITS = 16, 1 << 28
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """(_bucket, _bits): a bitmap of the hashed keys, of MOST_BITS at most, so that it can be broadcast at every size."""
+    n = keys.count()
+    bits = min(MOST_BITS, max(1 << 15, 1 << (BITS_PER_KEY * n).bit_length()))
+    slot = F.pmod(F.col(key), F.lit(bits))
+    found = keys.groupBy(F.floor(slot / (1 << 15)).alias("_bucket")).agg(F.bitmap_construct_agg(slot % (1 << 15)).alias("_bits"))
+    return cut(found.withColumn("_size", F.lit(bits)))
+
+
+def may_have(df: DataFrame, key: Column, bitmap: DataFrame) -> DataFrame:
+    """df's columns as `_row`, its key as `_key`, and `_hit`: whether the key may be among the filter's; never wrongly no."""
+    first = bitmap.select("_size").first()
+    slot = F.pmod(F.col("_key"), F.lit(first["_size"] if first else 1 << 15))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(slot % (1 << 15) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("_byte >> cast(_slot % 8 as int) & 1")
+    return (
+        boxed(df, key)
+        .withColumn("_slot", slot)
+        .join(F.broadcast(bitmap.select("_bucket", "_bits")), F.floor(F.col("_slot") / (1 << 15)) == F.col("_bucket"), "left")
+        .withColumn("_byte", byte)
+        .select("_row", "_key", F.coalesce(bit == 1, F.lit(False)).alias("_hit"))
+    )
+
+
 def boxed(df: DataFrame, key: Column) -> DataFrame:
     """(_key, _row): whole rows beside a key, so that no column of theirs can clash with what they are joined with."""
     return df.select(key.alias("_key"), F.struct("*").alias("_row"))

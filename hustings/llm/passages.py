@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, sized
-from .shingles import WordHashes, as_long, long_windows, windows
+from .common import cut, key_filter, may_have, sized
+from .shingles import as_long, long_windows, windows, words_of
 
 K, SPAN = 5, 4
 MIN_WORDS, MIN_ALIKE = 50, 0.8
@@ -44,6 +44,9 @@ LEAST_CHAIN = round(MIN_WORDS * (1 - MIN_ALIKE)) + K
 #: Beyond its ends an alignment goes on until its score is DROP below its best; at an edit, up to SKIP words are left out on a side.
 DROP, SKIP, LOOK = 12, 2, 4
 
+#: Seeds fall into BUCKETS; one with HOT places more than four times the mean is dealt in parts.
+BUCKETS, HOT, SAMPLE = 1 << 16, 5000, 64
+
 SKIPS = [(1, 1)] + [s for n in range(1, SKIP + 1) for s in ((n, 0), (0, n))]
 
 
@@ -448,55 +451,82 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.array([n], k)) for n, k in zip(now, kinds, strict=True)] + [pa.array(np.ones(1))], names=["node", "start", "end", "other", "other_start", "alike"])
 
 
-def shared(docs: DataFrame) -> DataFrame:
+def _hot_buckets(sample: DataFrame, key: str) -> list[int]:
+    """Buckets of keys that very many places share, told from one in SAMPLE of all texts: how work is dealt depends on it, not what is found."""
+    counts = cut(sample.groupBy(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("n")))
+    mean = counts.agg(F.sum("n")).first()[0] or 0
+    return [r["bucket"] for r in counts.filter(SAMPLE * F.col("n") > HOT + 4 * SAMPLE * mean / BUCKETS).select("bucket").collect()]
+
+
+def _split(shown: DataFrame, hot: list[int], tasks: int) -> DataFrame:
+    """shown (seed, node, at, less), with the nodes of seeds in hot buckets dealt into parts, each a seed made from it.
+
+    Within a part all nodes meet its first one; the parts' first nodes meet again, under one more seed.
+    """
+    if not hot:
+        return shown
+    bucket = F.pmod(F.xxhash64("seed"), F.lit(BUCKETS))
+    large = shown.filter(bucket.isin(hot)).withColumn("part", F.pmod(F.xxhash64("node"), F.lit(tasks)))
+    parts = large.select(F.xxhash64("seed", "part").alias("seed"), "node", "at", "less")
+    places = large.groupBy("seed", "part", "node").agg(F.min("less").alias("less"), F.sort_array(F.collect_set("at")).alias("places"))
+    first = places.groupBy("seed", "part").agg(F.min(F.struct("less", "node", "places")).alias("head"))
+    heads = first.select(F.xxhash64("seed", F.lit(-1)).alias("seed"), "head.node", F.explode("head.places").alias("at"), "head.less")
+    return shown.filter(~bucket.isin(hot)).unionByName(parts).unionByName(heads.select("seed", "node", "at", "less"))
+
+
+def shared(docs: DataFrame, salt: int = 0) -> DataFrame:
     """docs (doc_id, text) -> doc_id, start_word, end_word (exclusive), n_words, other_id, other_start, alike."""
     tasks = sized(docs)
+    row_hash = F.xxhash64("doc_id", "text")
 
     def keyed(words: np.ndarray) -> tuple[int, int]:
-        digest = xxhash.xxh3_128_digest(words.tobytes())
-        low, high = np.frombuffer(digest, np.int64)
+        low, high = np.frombuffer(xxhash.xxh3_128_digest(words.tobytes(), seed=salt), np.int64)
         return int(low), int(high)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                words = hashes.of(text.as_py())
-                rows.append((len(words), *keyed(words)))
-            columns = [batch.column(0).cast(pa.int64())] + [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
-            yield pa.record_batch(columns, names=["doc_id", "size", "node", "check"])
-
-    rows = cut(docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, size long, node long, check long").filter(F.col("size") >= MIN_WORDS))
-    known = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("copies"), F.max("size").alias("size"))
+            rows = [(len(words), *keyed(words)) for words in words_of(batch.column(1))]
+            columns = [batch.column(0).cast(pa.int64()), batch.column(2)] + [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+            yield pa.record_batch(columns, names=["doc_id", "row_hash", "size", "node", "check"])
+
+    schema = "doc_id long, row_hash long, size long, node long, check long"
+    rows = cut(docs.select("doc_id", "text", row_hash.alias("row_hash")).mapInArrow(counted, schema).filter(F.col("size") >= MIN_WORDS))
+    known = cut(
+        rows.groupBy("node").agg(
+            F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("copies"), F.max("size").alias("size"),
+            F.min("row_hash").alias("row_hash"), (F.min("check") != F.max("check")).alias("clash"),
+        )
+    )
+    if not known.filter("clash").isEmpty():
+        return shared(docs, salt + 1)
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        """The seeds of each text that the task meets first: (node, seeds, places, less), less being minus how often the text has the seed."""
+        seen: set[int] = set()
         for batch in batches:
-            found, owner, places, less = [], [], [], []
-            for text in batch.column(0):
-                words = hashes.of(text.as_py())
-                if len(words) < MIN_WORDS:
-                    continue
-                node = keyed(words)[0]
-                if node in seen:
+            nodes, found, places, less = [], [], [], []
+            for words in words_of(batch.column(0)):
+                if len(words) < MIN_WORDS or (node := keyed(words)[0]) in seen:
                     continue
                 if len(seen) < 200_000:
                     seen.add(node)
                 grams = windows(words, K)
                 at = seeds(grams)
-                found.append(as_long(grams[at]))
-                owner.append(np.full(len(at), node, np.int64))
-                places.append(at)
                 _, which, times = np.unique(grams[at], return_inverse=True, return_counts=True)
-                less.append(-times[which])
-            if found:
-                columns = [pa.array(np.concatenate(c), t) for c, t in ((found, pa.int64()), (owner, pa.int64()), (places, pa.int32()), (less, pa.int32()))]
-                yield pa.record_batch(columns, names=["seed", "node", "at", "less"])
+                nodes.append(node)
+                found.append(as_long(grams[at]))
+                places.append(at.astype(np.int32))
+                less.append(-times[which].astype(np.int32))
+            columns = [pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(less, pa.list_(pa.int32()))]
+            yield pa.record_batch(columns, names=["node", "seeds", "places", "less"])
+
+    def shown(texts: DataFrame) -> DataFrame:
+        made = texts.select("text").mapInArrow(seeded, "node long, seeds array<long>, places array<int>, less array<int>")
+        return made.select("node", F.inline(F.arrays_zip("seeds", "places", "less"))).toDF("node", "seed", "at", "less").select("seed", "node", "at", "less")
 
+    in_sample = F.pmod(row_hash, F.lit(SAMPLE)) == 0
     matches = (
-        docs.select("text")
-        .mapInArrow(seeded, "seed long, node long, at int, less int")
+        _split(shown(docs), _hot_buckets(shown(docs.filter(in_sample)), "seed"), tasks)
         .repartition(tasks, "seed")
         .sortWithinPartitions("seed", "less", "node", "at")
         .select("seed", "node", "at")
@@ -507,24 +537,28 @@ def shared(docs: DataFrame) -> DataFrame:
         matches.distinct()
         .repartition(tasks, "node")
         .sortWithinPartitions("node", "other", "x", "y")
-        .mapInArrow(_chained, "node long, other long, xs array<int>, ys array<int>")
+        .mapInArrow(_chained, "node long, other long, xs array<int>, ys array<int>"),
+        release=True,
     )
 
-    wanted = found.select("node").unionByName(found.select(F.col("other").alias("node"))).distinct().join(known, "node")
-    source = docs.select("doc_id", "text").join(wanted.select("node", "first_id"), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text")
+    # The words of these nodes are made anew: texts aren't shuffled, and a bitmap keeps out those of other rows.
+    wanted = cut(found.select("node").unionByName(found.select(F.col("other").alias("node"))).distinct().join(known, "node").select("node", "row_hash"))
+    hits = may_have(docs.select("doc_id", "text"), row_hash, key_filter(wanted, "row_hash")).filter("_hit").select(F.col("_row.text").alias("text"))
 
     def as_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        seen: set[int] = set()
         for batch in batches:
             own, data = [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = hashes.of(text.as_py())
-                if keyed(words)[0] == node:
+            for words in words_of(batch.column(0)):
+                node = keyed(words)[0]
+                if node not in seen:
+                    if len(seen) < 200_000:
+                        seen.add(node)
                     own.append(node)
                     data.append(words.astype(np.uint32).tobytes())
             yield pa.record_batch([pa.array(own, pa.int64()), pa.array(data, pa.binary())], names=["node", "words"])
 
-    words = cut(source.mapInArrow(as_words, "node long, words binary").dropDuplicates(["node"]))
+    words = cut(hits.mapInArrow(as_words, "node long, words binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]), release=True)
     margin = MIN_WORDS
 
     def sliced(df: DataFrame, who: str, places: str, name: str) -> DataFrame:
@@ -545,11 +579,13 @@ def shared(docs: DataFrame) -> DataFrame:
                         yield pa.record_batch([pa.array(as_long(hashes)), pa.array(np.full(len(at), node, np.int64)), pa.array(at)], names=["run", "node", "at"])
 
     span_schema = "node long, start int, end int, other long, other_start int, alike double"
+    own = found.filter("node = other").select("node", "xs", "ys")
+    run_schema, some = "run long, node long, at int", F.pmod("node", F.lit(SAMPLE)) == 0
+    hot_runs = _hot_buckets(own.filter(some).join(words.filter(some), "node").mapInArrow(runs, run_schema), "run")
+    in_runs = own.join(words, "node").mapInArrow(runs, run_schema).select(F.col("run").alias("seed"), "node", "at", F.lit(0).alias("less"))
     exact = (
-        found.filter("node = other")
-        .select("node", "xs", "ys")
-        .join(words, "node")
-        .mapInArrow(runs, "run long, node long, at int")
+        _split(in_runs, hot_runs, tasks)
+        .select(F.col("seed").alias("run"), "node", "at")
         .repartition(tasks, "run")
         .sortWithinPartitions("run", "node", "at")
         .mapInArrow(_held_by_two, span_schema)

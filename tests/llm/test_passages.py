@@ -169,3 +169,20 @@ def test_recall_by_edit_rate(spark):
     rows, found = covered(spark, texts)
     assert all(len(found[at] & set(range(40, 40 + size))) >= size - 8 and found[at + 1] for at, size, _ in cases)
     assert all(r["alike"] >= P.MIN_ALIKE and r["doc_id"] < 2 * len(cases) for r in rows)
+
+
+def test_seeds_of_very_many_places(spark, monkeypatch):
+    """Dealt in parts, a seed's holders still meet its first node: nothing that documents share exactly is lost."""
+    monkeypatch.setattr(P, "HOT", -(1 << 40))
+    test_finds_what_documents_share(spark)
+
+
+def test_null_and_shared_ids(spark):
+    """Texts are told apart whatever their ids."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    passage = " ".join(word() for _ in range(70))
+    texts = [" ".join(word() for _ in range(30)) + " " + passage + " " + " ".join(word() for _ in range(30)) for _ in range(6)]
+    for one in (None, 3):
+        rows = P.shared(spark.createDataFrame([(one, t) for t in texts], "doc_id long, text string")).collect()
+        assert len(rows) == 6 and all((r["start_word"], r["end_word"], r["doc_id"]) == (30, 100, one) for r in rows)
