@@ -24,4 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_url_filters": urlfilter.OP1_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
+    "op8_quality_rules": quality.OP8_SQL,
 }

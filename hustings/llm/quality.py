@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, boxed, cut, let, words
+from .common import SPACE, cut, key_filter, let, may_have, words
 
 #: Frequent words of English, German, French and Spanish.
 COMMON_WORDS = (
@@ -210,12 +210,49 @@ def judged(
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every document of the corpus."""
-    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_hash")
+    found = judged(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_hash")
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+def _js_sql(p: str, q: str, n: int) -> str:
+    """Jensen-Shannon distance of two lists of shares of length n."""
+    part = lambda a, b: f"CASE WHEN {a}[i] > 0 THEN {a}[i] * log2(2 * {a}[i] / ({a}[i] + {b}[i])) ELSE 0 END"
+    return f"sqrt(greatest(0, list_sum(list_transform(range(1, {n + 1}), lambda i: 0.5 * ({part(p, q)}) + 0.5 * ({part(q, p)})))))"
+
+
+def _op8_sql() -> str:
+    classes = ["[a-z]", SPACE, "[A-Z]", "[.,;:!?''\"()\\-]", "[0-9]", SYMBOLS]
+    count = lambda c: f"length(t) - length(regexp_replace(t, '{c}', '', 'g'))"
+    hist = ", ".join(count(c) for c in classes)
+    common = ", ".join(f"len(list_filter(w, lambda x: x = '{c}'))" for c in COMMON_WORDS)
+    shares = lambda h: f"list_transform({h}, lambda x: x / list_sum({h}))"
+    n_class, n_word = len(classes) + 1, len(COMMON_WORDS) + 1
+    sums = lambda h, n: "[" + ", ".join(f"sum({h}[{i + 1}])" for i in range(n)) + "]"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^{SPACE[1:-1]}]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{SPACE[1:-1]}]')) AS lines FROM d),
+g AS (SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+r AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+n AS (SELECT rid, count(DISTINCT i + k) AS again FROM r, range(0, 5) z(k) GROUP BY 1),
+f AS (SELECT rid, doc_id, lang, len(w) AS n_words, length(t) - ({count(SPACE)}) AS word_chars, {count(SYMBOLS)} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+  coalesce(again, 0) AS n_repeat_words, [{hist}] AS c6, length(t) AS n_chars, [{common}] AS h FROM w LEFT JOIN n USING (rid)),
+x AS (SELECT *, list_append(c6, n_chars - list_sum(c6)) AS ch, list_append(h, n_words - list_sum(h)) AS wh, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+refs AS (SELECT lang, {sums("ch", n_class)} AS rc, {sums("wh", n_word)} AS rw FROM x WHERE NOT base_failed GROUP BY 1),
+y AS (SELECT x.*, CASE WHEN list_sum(ch) > 0 AND list_sum(rc) > 0 THEN {shares("ch")} END AS pc, {shares("rc")} AS qc, CASE WHEN list_sum(wh) > 0 AND list_sum(rw) > 0 THEN {shares("wh")} END AS pw, {shares("rw")} AS qw
+  FROM x LEFT JOIN refs ON x.lang IS NOT DISTINCT FROM refs.lang),
+z AS (SELECT *, CASE WHEN pc IS NOT NULL THEN {_js_sql("pc", "qc", n_class)} END AS cd, CASE WHEN pw IS NOT NULL THEN {_js_sql("pw", "qw", n_word)} END AS wd FROM y)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_words >= {MIN_WORDS} AND (coalesce(cd, 0) > {MAX_CLASS_DISTANCE} OR coalesce(wd, 0) > {MAX_WORD_DISTANCE[0]} + {MAX_WORD_DISTANCE[1]} / sqrt(n_words))) AS kept,
+  round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM z"""
+
+
+OP8_SQL = _op8_sql()
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep. The verdict follows a row by id, text and language, so rows that
     share an id are judged each; a null id is an id like others."""
-    good = judged(docs).filter("kept").select(F.col("row_hash").alias("_key")).distinct()
-    return boxed(docs, _row_hash()).join(good, "_key", "left_semi").select("_row.*")
-
+    bad = cut(judged(docs).filter("not kept").select(F.col("row_hash").alias("_key")).distinct())
+    seen = may_have(docs, _row_hash(), key_filter(bad, "_key"))
+    # Texts stay where they are, but for those that a bitmap takes for rejected ones.
+    looked_up = seen.filter("_hit").join(bad, "_key", "left_anti")
+    return seen.filter("not _hit").select("_row").unionByName(looked_up.select("_row")).select("_row.*")

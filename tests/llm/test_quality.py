@@ -54,3 +54,9 @@ def test_repeats_with_forced_clashes(spark):
     finally:
         Q.PLACE = old
     assert got == {i: brute(t)[4] for i, t in rows}
+
+
+def test_equals_sql(spark, duck):
+    from tests.test_catalog import same
+
+    same(spark, duck, Q.op8_quality_rules(spark, SMALL), Q.OP8_SQL)
