@@ -13,6 +13,7 @@ refused with an error, so a short file can't fill the memory.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,23 +38,24 @@ class TiffError(ValueError):
     """What is wrong with a file."""
 
 
+_RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
+
+
 def pack_bits(data: bytes) -> bytes:
-    """Run-length coding: runs of two or more as (1 - n, byte), other bytes as (n - 1, bytes)."""
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while i + run < n and run < 128 and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        start = i
-        while i < n and i - start < 128 and (i + 1 >= n or data[i] != data[i + 1]):
-            i += 1
-        out.append(i - start - 1)
-        out += data[start:i]
-    return bytes(out)
+    """Run-length coding: runs of 3 to 128 bytes alike as (1 - n, byte), what lies between as (n - 1, bytes)."""
+    out: list[bytes] = []
+
+    def literal(start: int, end: int) -> None:
+        for i in range(start, end, 128):
+            out.append(bytes((min(128, end - i) - 1,)) + data[i : min(i + 128, end)])
+
+    done = 0
+    for run in _RUN.finditer(data):
+        literal(done, run.start())
+        out.append(bytes((257 - len(run[0]),)) + run[1])
+        done = run.end()
+    literal(done, len(data))
+    return b"".join(out)
 
 
 def unpack_bits(data: bytes, size: int) -> bytes:
@@ -75,82 +77,95 @@ def unpack_bits(data: bytes, size: int) -> bytes:
     return bytes(out[:size])
 
 
+#: A table holds codes up to 4093; the code after that clears it. Width of the i-th code after a clearing one, widened one code early.
+CLEAR, END, FIRST = 256, 257, 258
+AFTER_CLEAR = 4094 - FIRST + 1
+WIDTHS = np.array([min(12, (FIRST + i).bit_length()) for i in range(8192)])
+
+
+def _bits_packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes of up to 12 bits one behind the other, high bit first: each touches three bytes at most."""
+    ends = np.cumsum(widths)
+    begin = ends - widths
+    spread = codes.astype(np.int64) << (24 - widths - (begin & 7))
+    size = int(ends[-1] + 7) >> 3
+    out = np.zeros(size + 3)
+    for k, shift in enumerate((16, 8, 0)):
+        out += np.bincount((begin >> 3) + k, (spread >> shift) & 255, size + 3)
+    return out[:size].astype(np.uint8).tobytes()
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first, widened one code early; 256 clears, 257 ends."""
-    table = {bytes((i,)): i for i in range(256)}
-    bits, held, width, fresh, out = 0, 0, 9, 258, bytearray()
-
-    def put(code: int) -> None:
-        nonlocal bits, held
-        bits, held = (bits << width) | code, held + width
-        while held >= 8:
-            held -= 8
-            out.append((bits >> held) & 255)
-            bits &= (1 << held) - 1
-
-    put(256)
-    prefix = b""
+    """Codes of 9 to 12 bits; the table is kept by (code of the prefix, next byte)."""
+    codes, table, fresh = [CLEAR], {}, FIRST
+    known, emit = table.get, codes.append
+    prefix = -1
     for value in data:
-        longer = prefix + bytes((value,))
-        if longer in table:
-            prefix = longer
+        if prefix < 0:
+            prefix = value
+            continue
+        key = prefix << 8 | value
+        found = known(key)
+        if found is not None:
+            prefix = found
             continue
-        put(table[prefix])
-        table[longer] = fresh
+        emit(prefix)
+        table[key] = fresh
         fresh += 1
         if fresh == 4094:
-            put(256)
-            table, width, fresh = {bytes((i,)): i for i in range(256)}, 9, 258
-        elif fresh >= 1 << width and width < 12:
-            width += 1
-        prefix = bytes((value,))
-    if prefix:
-        put(table[prefix])
-        fresh += 1
-        if fresh >= 1 << width and width < 12:
-            width += 1
-    put(257)
-    if held:
-        out.append((bits << (8 - held)) & 255)
-    return bytes(out)
+            emit(CLEAR)
+            table.clear()
+            fresh = FIRST
+        prefix = value
+    if prefix >= 0:
+        emit(prefix)
+    emit(END)
+    # Behind the first code, every AFTER_CLEAR-th one clears.
+    return _bits_packed(np.array(codes), np.r_[9, WIDTHS[np.arange(len(codes) - 1) % AFTER_CLEAR]])
+
+
+def _codes_after(data: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes from a bit on as far as one table goes, if none of them clears it, and the bits behind each."""
+    ends = bit + np.cumsum(WIDTHS[: 4096 - FIRST + 2])
+    ends = ends[ends <= 8 * (len(data) - 3)]
+    widths = WIDTHS[: len(ends)]
+    begin = ends - widths
+    at = begin >> 3
+    three = data[at].astype(np.int64) << 16 | data[at + 1].astype(np.int64) << 8 | data[at + 2]
+    return (three >> (24 - widths - (begin & 7))) & ((1 << widths) - 1), ends
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
-    table: list[bytes] = []
-    out, bits, held, width, last, at = bytearray(), 0, 0, 9, None, 0
-    while len(out) < size:
-        while held < width:
-            if at >= len(data):
-                raise TiffError("LZW data end early")
-            bits, held, at = (bits << 8) | data[at], held + 8, at + 1
-        held -= width
-        code = bits >> held
-        bits &= (1 << held) - 1
-        if code == 257:
+    """Codes are cut out of the bits a table at a time: their widths follow from their number since the last clearing code."""
+    padded = np.frombuffer(bytes(data) + b"\0\0\0", np.uint8)
+    if size and (len(data) < 2 or int(data[0]) << 1 | data[1] >> 7 != CLEAR):
+        raise TiffError("LZW data do not start with a clear code")
+    singles = [bytes((i,)) for i in range(256)] + [b"", b""]
+    out: list[bytes] = []
+    done, bit = 0, 9
+    while done < size:
+        codes, ends = _codes_after(padded, bit)
+        stops = np.flatnonzero((codes == CLEAR) | (codes == END))
+        n = int(stops[0]) if len(stops) else len(codes)
+        table, last = list(singles), b""
+        for code in codes[:n].tolist():
+            if code < len(table):
+                entry = table[code]
+            elif code == len(table) and last:
+                entry = last + last[:1]
+            else:
+                raise TiffError("LZW code out of range")
+            if last:
+                table.append(last + entry[:1])
+            out.append(entry)
+            last = entry
+            done += len(entry)
+        if not len(stops) or codes[n] == END:
             break
-        if code == 256:
-            table, width, last = [bytes((i,)) for i in range(256)] + [b"", b""], 9, None
-            continue
-        if not table:
-            raise TiffError("LZW data do not start with a clear code")
-        if last is None:
-            entry = table[code] if code < 256 else None
-        elif code < len(table):
-            entry = table[code]
-        elif code == len(table):
-            entry = last + last[:1]
-        else:
-            entry = None
-        if entry is None:
-            raise TiffError("LZW code out of range")
-        out += entry
-        if last is not None:
-            table.append(last + entry[:1])
-        last = entry
-        width = min(12, max(9, (len(table) + 1).bit_length()))
-    if len(out) < size:
+        bit = int(ends[n])
+    if done < size:
         raise TiffError("LZW data end early")
-    return bytes(out[:size])
+    return b"".join(out)[:size]
 
 
 def _inflate(data: bytes, size: int) -> bytes:
@@ -316,17 +331,16 @@ def pages(files: DataFrame, column: str = "media", key: str = "doc_id") -> DataF
 
 
 #: Side by side 64 samples; PAGE_ROWS rows a page, so that a long text has several pages.
-LINE, PAGE_ROWS, SMALL = 64, 4096, 512
+LINE, PAGE_ROWS = 64, 4096
 
 
 def store(payload: bytes) -> bytes:
-    """A payload (a multiple of 64 bytes) as TIFF. Short ones are dealt out by their checksum among
-    PackBits, LZW and deflate, in strips or tiles; long ones are deflated after the predictor or not."""
+    """A payload (a multiple of 64 bytes) as TIFF: its checksum deals it PackBits, LZW or deflate, with or without the
+    predictor, in strips or tiles, at every size."""
     grid = np.frombuffer(payload, np.uint8).reshape(-1, LINE)
     parts = [grid[i : i + PAGE_ROWS] for i in range(0, len(grid), PAGE_ROWS)]
     mark = zlib.crc32(payload)
-    compression = (DEFLATE, PACKBITS, LZW, DEFLATE)[mark % 4] if len(payload) <= SMALL else DEFLATE
-    return write(parts, compression, 1 + (mark >> 8) % 2, tile=(32, 16) if (mark >> 16) % 8 == 0 else None)
+    return write(parts, (DEFLATE, PACKBITS, LZW)[mark % 3], 1 + (mark >> 8) % 2, tile=(32, 16) if (mark >> 16) % 8 == 0 else None)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
