@@ -121,7 +121,9 @@ def formatted(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     ).drop("given")
     first = calls.filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "part")).alias("at"))
     results = known.filter(answers.isNotNull()).select("conv_id", "turn", answers.alias("call_id"), F.coalesce(F.to_json(F.try_variant_get("v", "$.content", "variant")), F.lit("null")).alias("content"))
-    refs = F.array_distinct(F.regexp_extract_all(F.to_json("arguments"), F.lit('"[$]ref":"([^"]*)"'), F.lit(1)))
+    # Identifiers as JSON strings, escapes and all, each read back as what it says.
+    spelled = F.regexp_extract_all(F.to_json("arguments"), F.lit('"[$]ref":("(?:[^"\\\\]|\\\\.)*")'), F.lit(1))
+    refs = F.array_compact(F.array_distinct(F.transform(spelled, lambda x: F.try_variant_get(F.try_parse_json(x), "$", "string"))))
     needs = calls.filter("call_id is not null").select("conv_id", "call_id", F.explode_outer(refs).alias("need")).filter("need is not null").distinct()
     replies = results.groupBy("conv_id", "call_id").agg(F.min("turn").alias("reply_turn"))
     placed = placed_calls(first.withColumn("turn", F.col("at.turn")).join(replies, ["conv_id", "call_id"], "left"), needs)

@@ -39,12 +39,78 @@ def test_calls(spark):
     assert len(found) == 14
 
 
+def test_odd_conversations(spark):
+    """Identifiers with quotes and backslashes, repeated rows, very long texts, clashing columns, and no rows at all."""
+    odd = 'a"b\\\\c\u00e9'
+    call = {"tool_calls": [{"id": "next", "name": "store", "arguments": {"key": "k", "value": {"$ref": odd}}}, {"id": odd, "name": "search", "arguments": {"query": "q " * 20000}}]}
+    rows = [(1, 0, "assistant", json.dumps(call)), (1, 1, "tool", json.dumps({"tool_call_id": odd, "content": "found"})), (2, 0, "user", "x" * 300_000), (2, 0, "user", "x" * 300_000), (None, None, None, "")]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("v", "part", "call", "call_id", "content", "depth", "need", "rank")})
+    found = C.formatted(messages).collect()
+    by = {(r["kind"], r["call_id"]): r for r in found}
+    assert by["call", odd]["depth"] == 1 and by["result", odd]["depth"] == 2 and by["call", "next"]["depth"] == 3 and by["call", odd]["linked"]
+    assert by["call", "next"]["faults"] == [] and by["result", odd]["linked"] and len([r for r in found if r["conv_id"] == 2]) == 2
+    assert len(found) == 4 + 3 and C.formatted(messages.limit(0)).count() == 0
+
+
 def test_forest_tells_findings_apart(spark):
-    forest = S.trained(spark)
-    made = spark.createDataFrame(S.labelled_findings(600, seed=99), "b string, c string, a string, label int")
+    """On findings it hasn't seen, whose identifiers are of words that the dictionary hasn't, in contexts it hasn't."""
+    contexts = S.corpus_contexts(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    forest = S.trained(spark, contexts[::2])
+    made = spark.createDataFrame(S.labelled_findings(1000, seed=99, contexts=contexts[1::2], rare=True), "b string, c string, a string, label int")
     cut = made.select("label", F.right("b", F.lit(S.BEFORE)).alias("b"), "c", F.left("a", F.lit(S.BEHIND)).alias("a"))
     scored = cut.selectExpr("label", *S._features("c", "b", "a")).select("label", F.struct(*S.FEATURES).alias("x")).select("label", F.expr(S.forest_sql(forest, "x")).alias("score"))
-    assert scored.agg(F.avg(((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("int"))).first()[0] > 0.97
+    hits = scored.groupBy("label").agg(F.avg((F.col("score") >= 0.5).cast("int")).alias("share")).collect()
+    share = {r["label"]: r["share"] for r in hits}
+    assert share[1] > 0.93 and share[0] < 0.07
+
+
+def test_features_against_brute_force(spark):
+    """Transitions and coverage, character by character."""
+    import math
+    import re
+
+    words = S.vocabulary()
+    counts = {}
+    for w in words:
+        places = [0, *(S.PAIRED.find(x) + 1 for x in w), 0]
+        for x, y in zip(places, places[1:]):
+            counts[x, y] = counts.get((x, y), 0) + 1
+    n = len(S.PAIRED) + 1
+    rows = {x: sum(counts.get((x, y), 0) + 0.5 for y in range(n)) for x in range(n)}
+
+    def cost(text):
+        at = [S.PAIRED.find("0" if c.isdigit() else c) + 1 for c in text.lower()]
+        bits = [min(70, round(-3 * math.log2((counts.get(p, 0) + 0.5) / rows[p[0]]))) for p in zip(at, at[1:])]
+        return sum(bits) / len(bits)
+
+    top = sorted(words[: S.DICTIONARY], key=len, reverse=True)
+    longest = re.compile("|".join(top))
+    texts = ["thisisaword", "Install_Config-99", "xKqWzRtYpLmNbV", "a1b2c3d4e5f6", "abc", "token", "../usr/local/lib", "ZZZZ" * 9]
+    table = spark.createDataFrame([(t, "", "") for t in texts], "c string, b string, a string")
+    for row in table.selectExpr("c", *S._features("c", "b", "a")).collect():
+        assert abs(row["transitions"] - cost(row["c"])) < 1e-9
+        assert abs(row["covered"] - sum(map(len, longest.findall(row["c"].lower()))) / len(row["c"])) < 1e-9
+
+
+def test_precision_and_recall_on_the_corpus(spark):
+    """What the corpus holds as secrets stands behind `token = `; its card numbers, long words and hashes don't count."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {(r["doc_id"], m.start(1)) for r in docs.collect() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r["text"] or "")}
+    # Places are counted in characters, as Python does.
+    found = {(r["doc_id"], r["place"]) for r in S.findings(docs).collect()}
+    assert truth and len(found & truth) >= 0.99 * len(truth) and len(found & truth) >= 0.99 * len(found)
+
+
+def test_many_candidates_in_a_long_text(spark):
+    """Places stay right over blocks of candidates; an empty table gives none."""
+    unit = 'word \U0001f600 token = "' + "0a9f" * 10 + '" and so on, '
+    docs = spark.createDataFrame([(1, unit * 700), (None, unit), (None, unit), (2, "")], "doc_id long, text string")
+    got = S.findings(docs).collect()
+    places = sorted(r["place"] for r in got if r["doc_id"] == 1)
+    assert places == [i * len(unit) + unit.index("0a9f") for i in range(700)] and len(got) == 702
+    assert S.findings(docs.limit(0)).count() == 0 and S.redacted(docs.limit(0)).count() == 0
 
 
 def test_findings_and_redaction(spark, odd_docs):
