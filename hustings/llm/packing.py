@@ -2,13 +2,13 @@
 
 Each document becomes token ids and a closing id. Ids beyond the last full sequence of a document are its
 tail; full sequences stand alone, tails are packed. Documents are dealt into groups by a seeded hash of
-their id; a group's tails are placed by falling length, each into the first sequence with enough room.
+their id and checksums; a group's tails are placed by falling length, each into the first sequence with enough room.
 The tree holds, above the capacities of the sequences, the larger of each pair, so the first fit is found
 from the root in log n steps. A group has about `group_docs` documents whatever the corpus: what
 a task holds is one group's lengths and checksums, never its texts.
 
 Cases: a null or empty text is the closing id alone. Very long texts give many full sequences. Repeated
-rows are packed each; rows with one id share a group. The order in which rows arrive doesn't matter: ties go by
+rows are packed each; those that would fill a group by themselves are dealt out by their place. The order in which rows arrive doesn't matter: ties go by
 doc_id and checksum. An empty table gives no pieces.
 """
 
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 LENGTH = 1024
 GROUP_DOCS = 4096
 SEED = 11
@@ -148,7 +150,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def packed(docs: DataFrame, length: int = LENGTH, group_docs: int = GROUP_DOCS, seed: int = SEED, vocabulary: str = VOCABULARY) -> DataFrame:
     """A row for each piece of each document."""
-    groups = max(1, -(-docs.count() // group_docs))
+    found = cut(encoded(docs, vocabulary, length).withColumn("row_key", F.xxhash64("doc_id", "doc_tokens", "sums", F.lit(seed))))
+    groups = max(1, -(-found.count() // group_docs))
     names = [f.strip().split(" ")[0] for f in PIECES.split(",")]
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
@@ -168,8 +171,11 @@ def packed(docs: DataFrame, length: int = LENGTH, group_docs: int = GROUP_DOCS,
             out.append((*t, base + sequence + found, offset))
         return pa.table([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
-    group = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)).alias("pack_group")
-    return encoded(docs, vocabulary, length).select("*", group).groupBy("pack_group").applyInArrow(pack, PIECES)
+    # Rows that are alike in all and fill a group by themselves are dealt over all groups by their place.
+    many = found.groupBy("row_key").agg(F.count("*").alias("times")).filter(F.col("times") > group_docs).select("row_key", F.lit(True).alias("spread"))
+    place = F.when(F.col("spread"), F.xxhash64("row_key", "place")).otherwise(F.col("row_key"))
+    dealt = found.withColumn("place", F.monotonically_increasing_id()).join(many, "row_key", "left")
+    return dealt.select("doc_id", "doc_tokens", "sums", F.pmod(place, F.lit(groups)).alias("pack_group")).groupBy("pack_group").applyInArrow(pack, PIECES)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

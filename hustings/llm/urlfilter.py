@@ -89,17 +89,25 @@ def boundaries(rules: DataFrame) -> DataFrame:
     return stacks.select("host", F.inline(F.array(start, end)))
 
 
-def judged(urls: DataFrame, rules: DataFrame, default: str = "allow", buckets: int = 8, salts: int = 64) -> DataFrame:
-    """urls (page_id, url) -> page_id, host, path, rule, verdict. One shuffle of the urls."""
+#: Rows that a sweep is to have at most, if hosts are even, and the fewest sweeps of a bucket.
+SWEEP_ROWS, LEAST_SALTS = 250_000, 64
+
+
+def judged(urls: DataFrame, rules: DataFrame, default: str = "allow", buckets: int = 8, salts: int | None = None) -> DataFrame:
+    """urls (page_id, url) -> page_id, host, path, rule, verdict. One shuffle of the urls.
+
+    Rows of a bucket of hosts are dealt over `salts` sweeps by their place, as many as the number of rows asks for, so that neither a host nor a
+    row that stands there very often fills one."""
+    salts = salts or max(LEAST_SALTS, -(-urls.count() // (buckets * SWEEP_ROWS)))
     host, path = host_path(F.col("url"))
-    keyed = urls.select("page_id", host.alias("host"), path.alias("path"))
+    keyed = urls.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("place"))
 
     def bucket(of: Column) -> Column:
         return F.pmod(F.xxhash64(F.substring_index(of, ".", -2)), F.lit(buckets)).cast("int")
 
     points = keyed.select(
         bucket(F.col("host")).alias("bucket"),
-        F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64("page_id", "path", "place"), F.lit(salts)).cast("int").alias("salt"),
         key_of(F.col("host")).alias("key"),
         F.lit(1).alias("kind"),
         F.struct("page_id", "host", "path").alias("page"),

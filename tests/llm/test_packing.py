@@ -68,3 +68,20 @@ def test_odd_rows(spark, odd_docs):
     assert total == sum(len(e.reference(r["text"] or "")) // 4 + 1 for r in odd_docs.collect())
     assert P.packed(odd_docs.limit(0)).count() == 0
     assert np.dtype("<u4").itemsize == 4
+
+
+def test_rows_alike_fill_no_group(spark):
+    """Rows without an id and with one text are dealt over the groups; each is packed."""
+    docs = spark.createDataFrame([(None, "the same text of some words")] * 90 + [(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    rows = P.packed(docs, length=16, group_docs=10).collect()
+    alike = [r for r in rows if r["doc_id"] is None]
+    assert sum(r["length"] for r in alike) == 90 * alike[0]["doc_tokens"] and len({r["sequence_id"] >> 32 for r in alike}) > 5
+    held = {}
+    for r in rows:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in held.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 16

@@ -30,3 +30,13 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert U.judged(spark.createDataFrame([], "page_id long, url string"), U.rule_table(spark, U.RULES)).count() == 0
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    """A row that stands there very often is judged each time; other columns are passed by."""
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(1, "https://www.net/es/x")] * 500 + [(None, None), (2, "http://a.com" + "/x" * 20000)], "page_id long, url string")
+    extras = {c: F.lit("x") for c in ("host", "path", "rule", "verdict", "salt", "key", "kind", "open", "place", "stack")}
+    got = U.judged(pages.withColumns(extras), U.rule_table(spark, U.RULES)).groupBy("page_id", "rule", "verdict").count().collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "net/es/", "block", 500), (None, None, "allow", 1), (2, "com/", "allow", 1)]))
