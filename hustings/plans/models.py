@@ -10,7 +10,7 @@ from .bindings import VOTES_SQL, table, votes
 
 QUERIES, ORACLES = {}, {}
 FLOOR = 0.002
-ROUNDS = 6
+ROUNDS = 25
 
 
 def query(sql: str | None):
