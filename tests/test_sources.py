@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hustings.operators import tables as T
-from hustings.sources import sinks, workbooks
+from hustings.sources import artefacts, sinks, workbooks
 
 
 def book(path, rows):
@@ -93,3 +93,40 @@ def test_other_sinks(spark, tmp_path):
     sinks.write_lines(cells, str(tmp_path / "lines"))
     assert spark.read.json(str(tmp_path / "lines")).count() == 2
     assert sinks.snapped(cells, 5).orderBy("zone").first()["x"] == 1.23457
+
+
+def test_artefacts_come_back(spark, tmp_path):
+    """Lookups, graphs, elections, models and shares are written and read; counts that don't fit are refused."""
+    import json
+
+    import numpy as np
+
+    rows = spark.createDataFrame([("z2", "a", 0.9, 1, 10.0), ("z1", "a", 1.0, 0, 30.0), ("z3", "b", 1.0, 0, 5.0)], "zone string, area string, share double, split int, people double")
+    published = spark.createDataFrame([("a", 50.0), ("b", 5.0), ("c", 5.0)], "area string, people double")
+    facts = artefacts.write_lookup(rows, str(tmp_path / "lookup"), "zone", published)
+    assert facts == {"rows": 3.0, "split": 1.0, "error": 15.0, "error_share": 0.25}
+    back = artefacts.read_lookup(spark, str(tmp_path / "lookup" / "table"), "zone string, area string, share double, split int, people double")
+    assert [r["zone"] for r in back.collect()] == ["z1", "z2", "z3"] and json.loads(spark.read.text(str(tmp_path / "lookup" / "meta")).first()["value"]) == facts
+    zones = spark.createDataFrame([(i,) for i in range(4)], "zone long")
+    edges = spark.createDataFrame([(0, 1, "boundary", 2.0, None, None), (1, 2, "crossing", 0.0, 9.0, "ferry")], "a long, b long, kind string, shared double, gap double, via string")
+    touches = spark.createDataFrame([(0, 2, 1.0, 2.0)], "a long, b long, x double, y double")
+    made = artefacts.adjacency(zones, edges, touches)
+    meta = json.loads(made.first()["json"])["meta"]
+    assert meta == {"zones": 4, "edges": 2, "boundary": 1, "crossing": 1, "touches": 1, "pieces": 2, "least": 0, "mean": 1, "most": 2}
+    z, e, t = artefacts.read_adjacency(made)
+    assert z.count() == 4 and e.filter("via = 'ferry'").first()["gap"] == 9 and t.first()["y"] == 2
+    with pytest.raises(Exception, match="fit the lists"):
+        artefacts.read_adjacency(made.select(F.regexp_replace("json", '"edges":2.0', '"edges":3.0').alias("json")))[0].collect()
+    areas = spark.createDataFrame([("n", 100, ["sum differs"]), ("m", 50, [])], "area string, electorate int, flags array<string>")
+    candidates = spark.createDataFrame([("n", "A", "x", 5.0), ("n", "B", "y", 9.0), ("n", "C", "x", 6.0)], "area string, name string, party string, votes double")
+    artefacts.write_elections(areas, candidates, str(tmp_path / "elections"), ["a note"])
+    doc = json.loads(spark.read.text(str(tmp_path / "elections")).first()["value"])
+    n = doc["results"][1]
+    assert (doc["areas"], doc["flagged"], doc["notes"]) == (2, 1, ["a note"]) and [c["name"] for c in n["candidates"]] == ["B", "C", "A"]
+    assert n["party_votes"] == [{"party": "x", "votes": 11.0}, {"party": "y", "votes": 9.0}]
+    matrix = np.array([[2.0, 0.5], [0.5, 1.0]])
+    artefacts.write_model(spark, str(tmp_path / "model"), {"cov": matrix, "parties": ("x", "y"), "beta": -0.35})
+    assert artefacts.read_model(spark, str(tmp_path / "model")) == {"cov": matrix.tolist(), "parties": ["x", "y"], "beta": -0.35}
+    assert artefacts.triangle(matrix) == [2.0, 0.5, 1.0] and np.allclose(artefacts.from_triangle([2.0, 0.5, 1.0]), matrix)
+    artefacts.write_shares(spark.createDataFrame([("z", 0.25, 0.75)], "zone string, x double, y double"), str(tmp_path / "shares"), ["x", "y"])
+    assert list(spark.read.parquet(str(tmp_path / "shares")).first()["shares"]) == [0.25, 0.75]
