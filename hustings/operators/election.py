@@ -251,3 +251,20 @@ def wedges(won: DataFrame, order: Sequence[str]) -> DataFrame:
     return sums.withColumns({"end": F.coalesce(F.try_divide(upto, F.nullif(whole, F.lit(0))), F.lit(0.0)), "share": F.coalesce(F.try_divide("seats", F.nullif(whole, F.lit(0))), F.lit(0.0))}).select(
         "party", "seats", (F.col("end") - F.col("share")).alias("begin"), "end"
     )
+
+
+def totals(areas: DataFrame) -> DataFrame:
+    """areas (electorate, polled, valid) -> one row: their sums, rejected votes and turnout."""
+    sums = areas.agg(*[F.sum(c).alias(c) for c in ("electorate", "polled", "valid")])
+    return sums.select("*", (F.col("polled") - F.col("valid")).alias("rejected"), F.try_divide("polled", F.nullif(F.col("electorate"), F.lit(0))).alias("turnout"))
+
+
+def without_pacts(seen: DataFrame, pacts: DataFrame) -> DataFrame:
+    """Observations of who stood, less those where a party stood down for another: pacts (layer, party, area) is a list written by hand."""
+    return seen.join(F.broadcast(pacts), ["layer", "party", "area"], "left_anti")
+
+
+def ballot_order(entries: DataFrame, order: Sequence[str]) -> DataFrame:
+    """entries (members, ...) with the place each has on the ballot: mergers first, then by the parties' order."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.element_at("members", 1))
+    return entries.withColumn("place", F.row_number().over(W.orderBy((F.size("members") > 1).desc(), F.when(F.size("members") > 1, 0).otherwise(place), "members")))

@@ -78,6 +78,24 @@ def majority_overlap(overlaps: DataFrame, zone: str, area: str, amount: str, spl
     return best.select(zone, area, F.round(share, 6).alias("share"), (share < split_below).cast("int").alias("split"), "n_areas")
 
 
+def other_areas(overlaps: DataFrame, zone: str, area: str, amount: str, sliver: float = 1e-6) -> DataFrame:
+    """zone and `others`: the areas that a zone overlaps beside its greatest, as (area, share), the largest first; slivers left out."""
+    by_zone = W.partitionBy(zone)
+    kept = overlaps.withColumn("_all", F.sum(amount).over(by_zone)).filter(F.col(amount) >= sliver * F.col("_all"))
+    ranked = kept.withColumns({"_rank": F.row_number().over(by_zone.orderBy(F.desc(amount), area)), "_kept": F.sum(amount).over(by_zone)})
+    share = F.round(F.col(amount) / F.col("_kept"), 6)
+    rest = ranked.filter("_rank > 1").groupBy(zone).agg(F.sort_array(F.collect_list(F.struct("_rank", F.col(area), share.alias("share")))).alias("_o"))
+    return rest.select(zone, F.transform("_o", lambda o: F.struct(o[area].alias("area"), o["share"].alias("share"))).alias("others"))
+
+
+def region_index(zones: DataFrame, names: DataFrame, zone: str, name: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """Sets of regions by zone as numbers: names numbered from 0 as they first appear, and each zone's number; a zone without a region is a failure."""
+    coded = encode(names, name, order)
+    joined = zones.join(F.broadcast(coded) if coded.count() <= 10_000 else coded, name, "left")
+    fault = F.raise_error(F.concat(F.lit("no region for zone "), F.col(zone).cast("string"))).cast("int")
+    return coded, joined.select(zone, F.coalesce("code", fault).alias("region"))
+
+
 def upper_median(rows: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
     """by and `median`: the middle element of each group, the upper of two; not interpolated. Equal values are counted first, so a
     group is never one array; nulls say nothing."""

@@ -11,6 +11,7 @@ from ..operators import estimators as M
 from ..operators import features as X
 from ..operators import fits
 from ..operators import graph as G
+from ..operators import tables as O
 from ..sources import geojson as J
 from ..sources import sheets as S
 from .bindings import LATTICE_SQL, PARTIES, VOTES_SQL, exhaustion, lattice, lattice_vertices, table, transfers, votes
@@ -237,6 +238,47 @@ def standing_observations(spark, d):
     return found.select("layer", "area", "party", F.round("share", 6).alias("share"), F.round("votes", 6).alias("votes"), "stood")
 
 
+@query("""WITH a AS (SELECT c_nationkey, count(DISTINCT c_custkey) AS electorate, count(o_orderkey) AS polled, count(o_orderkey) FILTER (o_orderstatus <> 'P') AS valid FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+SELECT CAST(sum(electorate) AS BIGINT) AS electorate, CAST(sum(polled) AS BIGINT) AS polled, CAST(sum(valid) AS BIGINT) AS valid, CAST(sum(polled) - sum(valid) AS BIGINT) AS rejected, round(sum(polled) / sum(electorate), 6) AS turnout FROM a""")
+def election_totals(spark, d):
+    """Electors, votes polled, valid and rejected, and turnout, over all areas."""
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("polled"), F.count_if(F.col("o_orderstatus") != "P").alias("valid"))
+    areas = table(spark, d, "customer").join(orders, "c_custkey", "left").groupBy("c_nationkey").agg(F.count("*").alias("electorate"), F.coalesce(F.sum("polled"), F.lit(0)).alias("polled"), F.coalesce(F.sum("valid"), F.lit(0)).alias("valid"))
+    return E.totals(areas).withColumn("turnout", F.round("turnout", 6))
+
+
+@query(f"""WITH {LAYERS_SQL}, s AS (SELECT layer, area, round(sum(electorate), 6) AS votes FROM z JOIN l USING (zone) GROUP BY ALL)
+SELECT layer, area, party, votes FROM s CROSS JOIN (VALUES ('x'), ('y')) p(party) WHERE NOT (layer = 'nation' AND party = 'x' AND area % 6 = 0)""")
+def standing_without_pacts(spark, d):
+    """Observations of who stood, but for areas in which a party stood down for another."""
+    zones, every = _layers(spark, d)
+    parties = spark.createDataFrame([("x",), ("y",)], "party string")
+    seen = every.join(zones, "zone").groupBy("layer", "area").agg(F.round(F.sum("electorate"), 6).alias("votes")).join(F.broadcast(parties))
+    pacts = spark.createDataFrame([("nation", "x", a) for a in range(0, 25, 6)], "layer string, party string, area int")
+    return E.without_pacts(seen, pacts).select("layer", "area", "party", "votes")
+
+
+@query("""WITH n AS (SELECT n_name, row_number() OVER (ORDER BY first, n_name) - 1 AS code, n_nationkey FROM (SELECT n_name, n_nationkey, min(c_custkey) AS first FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL))
+SELECT c_custkey AS zone, CAST(code AS INT) AS region FROM customer JOIN n ON n_nationkey = c_nationkey""")
+def real_regions(spark, d):
+    """Zones' regions as numbers, in the order in which their names first appear."""
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name")
+    zones = table(spark, d, "customer").select(F.col("c_custkey").alias("zone"), "c_nationkey").join(F.broadcast(nation), F.col("n_nationkey") == F.col("c_nationkey")).select("zone", "n_name")
+    _, found = O.region_index(zones, zones, "zone", "n_name", "zone")
+    return found.select("zone", F.col("region").cast("int").alias("region"))
+
+
+@query("""WITH o AS (SELECT c_custkey % 40 AS zone, c_nationkey % 6 AS area, sum(greatest(c_acctbal, 0)) AS amount FROM customer GROUP BY ALL), k AS (SELECT *, sum(amount) OVER (PARTITION BY zone) AS whole FROM o),
+m AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY amount DESC, area) AS rk, sum(amount) OVER (PARTITION BY zone) AS kept FROM k WHERE amount >= 1e-6 * whole)
+SELECT zone, string_agg(area || ':' || printf('%.6f', round(amount / kept, 6)), ',' ORDER BY rk) AS others FROM m WHERE rk > 1 GROUP BY 1""")
+def overlap_others(spark, d):
+    """What zones overlap beside their greatest area, the largest first."""
+    overlaps = table(spark, d, "customer").groupBy((F.col("c_custkey") % 40).alias("zone"), (F.col("c_nationkey") % 6).alias("area")).agg(F.sum(F.greatest("c_acctbal", F.lit(0.0))).alias("amount"))
+    found = O.other_areas(overlaps, "zone", "area", "amount")
+    text = F.transform("others", lambda o: F.concat(o["area"].cast("string"), F.lit(":"), F.format_string("%.6f", o["share"])))
+    return found.select("zone", F.array_join(text, ",").alias("others"))
+
+
 SHEETS_SQL = """n AS (SELECT l_orderkey AS area, l_linenumber AS candidate, max(l_quantity) AS q, max(l_discount) AS d FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY ALL),
 t AS (SELECT area, candidate, unnest([1, 2]) AS k, unnest([q, -q * d]) AS transfer FROM n WHERE area % 140 <> 0 OR area NOT IN (SELECT area FROM n WHERE candidate = 1)),
 m AS (SELECT *, max(abs(transfer)) OVER (PARTITION BY area, k) > 1e-9 AS moved FROM t)"""
