@@ -194,8 +194,11 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED, contexts: Sequence[st
 
 
 def corpus_contexts(docs: DataFrame, most: int = CONTEXTS, seed: int = SEED) -> list[str]:
-    """Pieces of 200 characters of texts, in the order of a hash."""
+    """Pieces of 200 characters of texts, in the order of a hash. Of a large table only a part of the hash range is looked at, in which many
+    times `most` texts lie, so that tasks don't send so many each."""
     drawn = F.xxhash64("doc_id", "text", F.lit(seed))
+    part = min(1.0, 20 * most / max(1, docs.count()))
+    docs = docs.filter(F.pmod(drawn, F.lit(1 << 30)) < int(part * (1 << 30)))
     start = F.pmod(F.col("draw"), F.greatest(F.lit(1), F.length("text") - 200)).cast("int") + 1
     pieces = docs.filter("text is not null").select("text", drawn.alias("draw")).select("draw", F.substring("text", start, F.lit(200)).alias("piece"))
     return [r["piece"] for r in pieces.orderBy("draw", "piece").limit(most).collect()]
