@@ -24,7 +24,7 @@ is carried through. Rows with one id are documents each. Very long texts are tak
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, key_filter, may_have, sized
-from .shingles import as_long, long_windows, windows, words_of
+from .shingles import GOLDEN, as_long, long_windows, mix, windows, words_of
 
 K, SPAN = 5, 4
 MIN_WORDS, MIN_ALIKE = 50, 0.8
@@ -44,8 +44,8 @@ LEAST_CHAIN = round(MIN_WORDS * (1 - MIN_ALIKE)) + K
 #: Beyond its ends an alignment goes on until its score is DROP below its best; at an edit, up to SKIP words are left out on a side.
 DROP, SKIP, LOOK = 12, 2, 4
 
-#: Seeds fall into BUCKETS; one with HOT places more than four times the mean is dealt in parts.
-BUCKETS, HOT, SAMPLE = 1 << 16, 5000, 64
+#: Seeds of very many places are told from one in SAMPLE texts; a part of one has HOT places at least, and a SHARE-th of what a task has.
+HOT, SAMPLE, SHARE = 5000, 64, 4
 
 SKIPS = [(1, 1)] + [s for n in range(1, SKIP + 1) for s in ((n, 0), (0, n))]
 
@@ -451,27 +451,56 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.array([n], k)) for n, k in zip(now, kinds, strict=True)] + [pa.array(np.ones(1))], names=["node", "start", "end", "other", "other_start", "alike"])
 
 
-def _hot_buckets(sample: DataFrame, key: str) -> list[int]:
-    """Buckets of keys that very many places share, told from one in SAMPLE of all texts: how work is dealt depends on it, not what is found."""
-    counts = cut(sample.groupBy(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("n")))
-    mean = counts.agg(F.sum("n")).first()[0] or 0
-    return [r["bucket"] for r in counts.filter(SAMPLE * F.col("n") > HOT + 4 * SAMPLE * mean / BUCKETS).select("bucket").collect()]
-
-
-def _split(shown: DataFrame, hot: list[int], tasks: int) -> DataFrame:
-    """shown (seed, node, at, less), with the nodes of seeds in hot buckets dealt into parts, each a seed made from it.
-
-    Within a part all nodes meet its first one; the parts' first nodes meet again, under one more seed.
-    """
-    if not hot:
-        return shown
-    bucket = F.pmod(F.xxhash64("seed"), F.lit(BUCKETS))
-    large = shown.filter(bucket.isin(hot)).withColumn("part", F.pmod(F.xxhash64("node"), F.lit(tasks)))
-    parts = large.select(F.xxhash64("seed", "part").alias("seed"), "node", "at", "less")
-    places = large.groupBy("seed", "part", "node").agg(F.min("less").alias("less"), F.sort_array(F.collect_set("at")).alias("places"))
-    first = places.groupBy("seed", "part").agg(F.min(F.struct("less", "node", "places")).alias("head"))
-    heads = first.select(F.xxhash64("seed", F.lit(-1)).alias("seed"), "head.node", F.explode("head.places").alias("at"), "head.less")
-    return shown.filter(~bucket.isin(hot)).unionByName(parts).unionByName(heads.select("seed", "node", "at", "less"))
+class Hot:
+    """Seeds that so many places share that they would fill a good part of a task, and a holder of each, told from one in SAMPLE of all texts. How work is
+    dealt depends on them, not what is found: the places of such a seed are dealt into parts by node, each a seed of its own, and its
+    holder goes to every part, as its first node. A part is as large as a SHARE-th of what a task has, and HOT places at least, so there
+    are a few seeds and parts for each task, whatever the number of texts."""
+
+    def __init__(self, sample: DataFrame, tasks: int):
+        """sample: (seed, node, at, less)."""
+        sample = cut(sample)
+        fair = max(HOT, SAMPLE * sample.count() // (SHARE * tasks))
+        many = sample.groupBy("seed").agg(F.count("*").alias("n"), F.min(F.struct("less", "node")).alias("head")).filter(SAMPLE * F.col("n") > fair)
+        parts = F.least(F.lit(tasks), F.ceil(SAMPLE * F.col("n") / max(1, fair))).cast("int")
+        found = cut(many.select("seed", "head.node", F.greatest(F.lit(2), parts).alias("parts")))
+        rows = sorted(map(tuple, found.collect()))
+        self.seeds, self.nodes, self.parts = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        self.sample, self.found = sample, found
+
+    @staticmethod
+    def part_of(seeds: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        return as_long(mix(seeds.astype(np.int64).view(np.uint64) + (parts.astype(np.uint64) + np.uint64(1)) * np.uint64(GOLDEN)))
+
+    def dealt(self) -> Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]:
+        """A function of a node's seeds: what they are dealt as, and which rows stay (a holder's own come in heads())."""
+        seeds, nodes, parts = self.seeds, self.nodes, self.parts
+
+        def deal(own: np.ndarray, node: int) -> tuple[np.ndarray, np.ndarray]:
+            if not len(seeds):
+                return own, np.ones(len(own), bool)
+            at = np.minimum(np.searchsorted(seeds, own), len(seeds) - 1)
+            hot = seeds[at] == own
+            part = mix(np.array([node], np.int64).view(np.uint64))[0] % parts[at[hot]].view(np.uint64)
+            out = own.copy()
+            out[hot] = Hot.part_of(own[hot], part)
+            return out, ~hot | (nodes[at] != node)
+
+        return deal
+
+    def heads(self) -> DataFrame:
+        """The holders' places in every part: (seed, node, at, less), before all others of the part."""
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                times = batch.column(3).to_numpy().astype(np.int64)
+                seed, node, at = (c.to_numpy().repeat(times) for c in batch.columns[:3])
+                part = np.arange(len(seed)) - np.repeat(np.cumsum(times) - times, times)
+                columns = [pa.array(Hot.part_of(seed, part)), pa.array(node), pa.array(at, pa.int32()), pa.array(np.full(len(at), -(1 << 31)), pa.int32())]
+                yield pa.record_batch(columns, names=["seed", "node", "at", "less"])
+
+        places = self.sample.join(self.found, ["seed", "node"]).select("seed", "node", "at", "parts").distinct()
+        return places.mapInArrow(spread, "seed long, node long, at int, less int")
 
 
 def shared(docs: DataFrame, salt: int = 0) -> DataFrame:
@@ -500,33 +529,40 @@ def shared(docs: DataFrame, salt: int = 0) -> DataFrame:
     if not known.filter("clash").isEmpty():
         return shared(docs, salt + 1)
 
-    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seeded(deal: Callable) -> Callable:
         """The seeds of each text that the task meets first: (node, seeds, places, less), less being minus how often the text has the seed."""
-        seen: set[int] = set()
-        for batch in batches:
-            nodes, found, places, less = [], [], [], []
-            for words in words_of(batch.column(0)):
-                if len(words) < MIN_WORDS or (node := keyed(words)[0]) in seen:
-                    continue
-                if len(seen) < 200_000:
-                    seen.add(node)
-                grams = windows(words, K)
-                at = seeds(grams)
-                _, which, times = np.unique(grams[at], return_inverse=True, return_counts=True)
-                nodes.append(node)
-                found.append(as_long(grams[at]))
-                places.append(at.astype(np.int32))
-                less.append(-times[which].astype(np.int32))
-            columns = [pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(less, pa.list_(pa.int32()))]
-            yield pa.record_batch(columns, names=["node", "seeds", "places", "less"])
-
-    def shown(texts: DataFrame) -> DataFrame:
-        made = texts.select("text").mapInArrow(seeded, "node long, seeds array<long>, places array<int>, less array<int>")
+
+        def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in batches:
+                nodes, found, places, less = [], [], [], []
+                for words in words_of(batch.column(0)):
+                    if len(words) < MIN_WORDS or (node := keyed(words)[0]) in seen:
+                        continue
+                    if len(seen) < 200_000:
+                        seen.add(node)
+                    grams = windows(words, K)
+                    at = seeds(grams)
+                    _, which, times = np.unique(grams[at], return_inverse=True, return_counts=True)
+                    own, stays = deal(as_long(grams[at]), node)
+                    nodes.append(node)
+                    found.append(own[stays])
+                    places.append(at.astype(np.int32)[stays])
+                    less.append(-times[which].astype(np.int32)[stays])
+                columns = [pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(less, pa.list_(pa.int32()))]
+                yield pa.record_batch(columns, names=["node", "seeds", "places", "less"])
+
+        return found_in
+
+    def shown(texts: DataFrame, deal: Callable) -> DataFrame:
+        made = texts.select("text").mapInArrow(seeded(deal), "node long, seeds array<long>, places array<int>, less array<int>")
         return made.select("node", F.inline(F.arrays_zip("seeds", "places", "less"))).toDF("node", "seed", "at", "less").select("seed", "node", "at", "less")
 
     in_sample = F.pmod(row_hash, F.lit(SAMPLE)) == 0
+    hot = Hot(shown(docs.filter(in_sample), lambda own, node: (own, np.ones(len(own), bool))), tasks)
     matches = (
-        _split(shown(docs), _hot_buckets(shown(docs.filter(in_sample)), "seed"), tasks)
+        shown(docs, hot.dealt())
+        .unionByName(hot.heads())
         .repartition(tasks, "seed")
         .sortWithinPartitions("seed", "less", "node", "at")
         .select("seed", "node", "at")
@@ -568,26 +604,33 @@ def shared(docs: DataFrame, salt: int = 0) -> DataFrame:
         joined = df.join(words.withColumnRenamed("node", who), who)
         return joined.withColumns({f"{name}_start": start, name: F.substring("words", 4 * start + 1, 4 * length)}).drop("words")
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, starts, ends, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(data, np.uint32)
-                for start, end in zip(starts, ends, strict=True):
-                    hashes = long_windows(own[start:end], MIN_WORDS)
-                    if len(hashes):
-                        at = np.arange(start, start + len(hashes), dtype=np.int32)
-                        yield pa.record_batch([pa.array(as_long(hashes)), pa.array(np.full(len(at), node, np.int64)), pa.array(at)], names=["run", "node", "at"])
+    def runs(deal: Callable) -> Callable:
+        def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for node, starts, ends, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own = np.frombuffer(data, np.uint32)
+                    for start, end in zip(starts, ends, strict=True):
+                        hashes = long_windows(own[start:end], MIN_WORDS)
+                        if len(hashes):
+                            dealt, stays = deal(as_long(hashes), node)
+                            at = np.arange(start, start + len(hashes), dtype=np.int32)[stays]
+                            columns = [pa.array(dealt[stays]), pa.array(np.full(len(at), node, np.int64)), pa.array(at), pa.array(np.zeros(len(at), np.int32))]
+                            yield pa.record_batch(columns, names=["seed", "node", "at", "less"])
+
+        return found_in
 
     span_schema = "node long, start int, end int, other long, other_start int, alike double"
-    own = found.filter("node = other").select("node", "xs", "ys")
-    run_schema, some = "run long, node long, at int", F.pmod("node", F.lit(SAMPLE)) == 0
-    hot_runs = _hot_buckets(own.filter(some).join(words.filter(some), "node").mapInArrow(runs, run_schema), "run")
-    in_runs = own.join(words, "node").mapInArrow(runs, run_schema).select(F.col("run").alias("seed"), "node", "at", F.lit(0).alias("less"))
+    own, some = found.filter("node = other").select("node", "xs", "ys"), F.pmod("node", F.lit(SAMPLE)) == 0
+    run_schema = "seed long, node long, at int, less int"
+    hot_runs = Hot(own.filter(some).join(words.filter(some), "node").mapInArrow(runs(lambda own, node: (own, np.ones(len(own), bool))), run_schema), tasks)
     exact = (
-        _split(in_runs, hot_runs, tasks)
-        .select(F.col("seed").alias("run"), "node", "at")
+        own.join(words, "node")
+        .mapInArrow(runs(hot_runs.dealt()), run_schema)
+        .unionByName(hot_runs.heads())
+        .withColumnRenamed("seed", "run")
         .repartition(tasks, "run")
-        .sortWithinPartitions("run", "node", "at")
+        .sortWithinPartitions("run", "less", "node", "at")
+        .select("run", "node", "at")
         .mapInArrow(_held_by_two, span_schema)
         .repartition(tasks, "node")
         .sortWithinPartitions("node", "other", F.col("start") - F.col("other_start"), "start")

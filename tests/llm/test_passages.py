@@ -173,7 +173,9 @@ def test_recall_by_edit_rate(spark):
 
 def test_seeds_of_very_many_places(spark, monkeypatch):
     """Dealt in parts, a seed's holders still meet its first node: nothing that documents share exactly is lost."""
-    monkeypatch.setattr(P, "HOT", -(1 << 40))
+    monkeypatch.setattr(P, "HOT", 1)
+    monkeypatch.setattr(P, "SAMPLE", 2)
+    monkeypatch.setattr(P, "SHARE", 100_000)
     test_finds_what_documents_share(spark)
 
 
