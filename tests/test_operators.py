@@ -347,6 +347,64 @@ def test_lowest_common_ancestors():
             assert c == next(v for v in above(a) if v in set(above(b)))
 
 
+def test_growth_walks_each_zone_a_few_times():
+    """A strip's open land, which lies between two regions, isn't walked anew each time that pieces are sealed."""
+
+    class Counted(list):
+        reads = 0
+
+        def __getitem__(self, z):
+            self.reads += 1
+            return super().__getitem__(z)
+
+    run = Q.Regions(lattice_zones(20, 400, np.ones(8000)), 3, 1, Q.Settings())
+    run.near = Counted(run.near)
+    run.build()
+    assert set(run.assign) == {0, 1, 2} and run.near.reads < 40 * 8000
+
+
+def test_sealing_finds_what_one_region_encloses():
+    """After each claim the pieces without a region and what they touch are those counted anew; sealing takes those that touch one region."""
+    rng = np.random.default_rng(11)
+    for case in range(20):
+        zones = lattice_zones(9, 8, np.ones(72))
+        run = Q.Regions(zones, 3, case, Q.Settings())
+        run.taken = [0] * 72
+        run.open = [{} for _ in range(3)]
+        run.islands()
+        for claims in range(1, 60):
+            free = [z for z in range(72) if run.assign[z] < 0]
+            if not free:
+                break
+            run.claim(int(rng.choice(free)), int(rng.integers(3)))
+            left, alone = {z for z in range(72) if run.assign[z] < 0}, []
+            while left:
+                walk = [left.pop()]
+                for z in walk:
+                    for w in zones.near[z]:
+                        if w in left:
+                            left.discard(w)
+                            walk.append(w)
+                around = [run.assign[w] for z in walk for w in zones.near[z] if run.assign[w] >= 0]
+                assert len({run.piece[z] for z in walk}) == 1 and run.touched[run.piece[walk[0]]] == {r: around.count(r) for r in around}
+                alone += walk if len(set(around)) == 1 else []
+            if claims % 7 == 0:
+                assert run.seal() == len(alone) and all(run.assign[z] >= 0 for z in alone)
+
+
+def test_spanning_forest_is_that_of_the_links_in_order():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 0), (5, 3), (40, 60), (200, 900)):
+        x, y = rng.integers(0, n, m), rng.integers(0, n, m)
+        x, y = x[x != y], y[x != y]
+        root, kept = list(range(n)), []
+        for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+            if root[a] != root[b]:
+                root = [root[a] if r == root[b] else r for r in root]
+                kept.append(i)
+        assert Q.spanning_forest(x, y, n).tolist() == kept
+
+
 @pytest.mark.parametrize("n", [4, 18])
 def test_search_evens_out_people(n):
     """A few thousand steps bring the worst deviation under 7 % and the score down by much."""
