@@ -275,3 +275,45 @@ def test_fits_over_folds_and_regions(spark):
     out = fits.combined(prior.drop("layer").withColumnRenamed("region", "c_area"), shifts.withColumn("layer", F.lit("c_area")), parties, cov, {"c_area": 0.01})
     rows = out.join(prior.select("zone", "voters", "region"), "zone").groupBy("region").agg(*[(F.sum(F.col("voters") * F.col(q)) / F.sum("voters")).alias(q) for q in parties]).collect()
     assert len(rows) == 4 and all(abs(r["a"] - 0.5) < 0.02 and abs(r["a"] + r["b"] + r["c"] - 1) < 1e-9 for r in rows)
+
+
+def test_edges_are_not_gathered_as_a_small_table(spark, tmp_path, monkeypatch):
+    """Rows that explode adds aren't in Spark's guess of a size: tables of edges, points and ring edges that grow with the zones are sorted, not broadcast."""
+    cells = spark.range(900).select(F.col("id").alias("zone"), (F.col("id") % 30).cast("double").alias("x"), F.floor(F.col("id") / 30).cast("double").alias("y"))
+    cells.write.parquet(f"{tmp_path}/cells")
+    cells = spark.read.parquet(f"{tmp_path}/cells")
+    edges = cells.select(F.col("zone").alias("a"), F.explode(F.array(F.col("zone") + 1, F.col("zone") + 30)).alias("b")).filter("b < 900 and (b = a + 30 or b % 30 > 0)")
+    monkeypatch.setattr(G, "MOST_SENT", 3)
+    plans, cut = [], G._cut
+
+    def seen(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return cut(frame)
+
+    monkeypatch.setattr(G, "_cut", seen)
+    monkeypatch.setattr(C, "_cut", seen)
+    got = {r["zone"]: r["hops"] for r in G.frontier_hops(edges, 0, 7).collect()}
+    assert got == {x + 30 * y: x + y for x in range(8) for y in range(8) if x + y <= 7}
+    assert all("BroadcastHashJoin" not in p for p in plans[6:])
+    made = sum("Generate explode" in p for p in plans)
+    assert made == 1, "the edges are made once"
+    plans.clear()
+    pairs = spark.createDataFrame([(0, 61), (5, 5), (3, 899), (31, 32), (0, 33)], "a long, b long")
+    hops = {(r["a"], r["b"]): r["hops"] for r in C.pair_hops(edges, pairs, 5).collect()}
+    assert hops == {(0, 61): 3, (5, 5): None, (3, 899): None, (31, 32): 1, (0, 33): 4}
+    assert sum("Generate explode" in p for p in plans) == 1
+    near = G.proximity(cells, 1.0)
+    assert "BroadcastHashJoin" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strips_follow_the_edges(spark):
+    """A tall stack of squares: a point meets the edges at its own height, however many stand above."""
+    n = 2000
+    corners = ((0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0))
+    edges = spark.range(n).select(F.col("id").alias("part"), F.lit(0).alias("ring"), F.explode(F.array(*[F.struct(*[F.lit(float(v)).alias(c) for v, c in zip(k, "abcd", strict=True)]) for k in corners])).alias("s"))
+    edges = edges.select("part", "ring", F.col("s.a").alias("x1"), (F.col("part") * 2 + F.col("s.b")).alias("y1"), F.col("s.c").alias("x2"), (F.col("part") * 2 + F.col("s.d")).alias("y2"))
+    points = spark.range(2 * n).select("id", F.lit(0.5).alias("x"), (F.col("id") + 0.5).alias("y"))
+    found = G.contains(points, edges)
+    assert {r["id"] for r in found.filter("inside").collect()} == set(range(0, 2 * n, 2))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert f"/ {(2 * n - 1) / 256}" not in plan, "strips are as narrow as edges are many"
